@@ -207,3 +207,22 @@ def sequence_hash(w: Words) -> np.ndarray:
 def number_of_words(text) -> "F.Column":
     """Words of a text column, native; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of the map that passes rows over before a join; a full map passes nothing over.
+MARK_BITS = 22
+
+
+def only_marked(df: DataFrame, key, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among wanted's `mark` (64-bit hashes): fewer rows for the join that decides.
+
+    The executors get one map of 2^22 bits (half a megabyte), however many keys there are.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << MARK_BITS))
+    m = place(F.col("mark"))
+    maps = wanted.select(m.alias("m")).groupBy(F.shiftright("m", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("_map"))
+    at = F.col("_m").bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    df = df.withColumn("_m", place(key))
+    return df.join(F.broadcast(maps), F.shiftright(df["_m"], 15) == maps["_part"]).where(hit).drop("_m", "_part", "_map")

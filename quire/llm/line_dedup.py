@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import only_marked, written
 
 SIMILARITY = 0.8
 #: Hashed bins of token counts: their levels (4 bits each) are the one thing that goes through the driver.
 BIN_BITS = 20
-#: Bits of the map by which lines that need no verifying are passed over; a full map passes nothing over.
-MARK_BITS = 22
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,15 +88,10 @@ def _may_be_similar(a: str, b: str, t: float, placed: bool) -> Column:
 def token_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     """key, tokens of the lines at the given places (key, doc_id, line_no).
 
-    Only lines whose hashed place is marked in a map of 2^22 bits, which every executor gets, go through the join.
+    Only lines whose hashed place is marked in a map of bounded size go through the join.
     """
-    mark = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << MARK_BITS))
-    marks = places.select(mark("doc_id", "line_no").alias("m")).groupBy(F.shiftright("m", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("map"))
-    lines = _lines(docs).withColumn("m", mark("doc_id", "line_no"))
-    at = F.col("m").bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring("map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    lines = lines.join(F.broadcast(marks), F.shiftright(lines.m, 15) == marks.part).where(marked).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.sort_array(_tokens(F.col("line"))).alias("tokens"))
+    wanted = places.select(F.xxhash64("doc_id", "line_no").alias("mark"))
+    lines = only_marked(_lines(docs), F.xxhash64("doc_id", "line_no"), wanted).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.sort_array(_tokens(F.col("line"))).alias("tokens"))
     found = places.join(lines, places.doc_id.eqNullSafe(lines.d) & (places.line_no == lines.l))
     return found.where(F.xxhash64("tokens") == F.col("key")).select("key", "tokens").dropDuplicates(["key"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chosen_path, decontamination, lm, token_counts, toxicity
+from quire.llm import chosen_path, decontamination, line_dedup, lm, mixing, token_counts, toxicity
 from quire.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
@@ -31,9 +35,13 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op7_toxicity, op8_lm_scoring, op9_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_mixing, op7_toxicity, op8_lm_scoring, op9_ngram_jaccard, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.SQL}
