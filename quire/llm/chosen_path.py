@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, mix, sequence_hash, shingles, text_batches, words, written
+from quire.llm.common import U64, mix, only_marked, sequence_hash, shingles, text_batches, words, written
 
 SIMILARITY = 0.8
 SHINGLE = 5
 T = 64
 RUNS = 8
 SMALL = 256
+#: Texts in a part of a large bucket or group; two parts at most meet in a task.
+PART = 1024
 DEPTH = 3
 #: Min-hashes that must agree for a candidate: a pair at 0.8 stays below it with probability 1e-4 in a comparison.
 AGREE = 39
@@ -226,7 +228,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int =
     n_links (different texts with a Jaccard similarity of at least `similarity`), n_copies (rows with its words)."""
     signed = written(signatures(docs))
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
-    buckets = in_units(leaf_buckets(nodes, runs, small, depth), "path", "size", small)
+    buckets = in_units(leaf_buckets(nodes, runs, small, depth), "path", "size", PART)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = buckets.select("unit", "node").join(nodes.select("node", "sig"), "node").repartition(parts, "unit").sortWithinPartitions("unit")
     groups = components(dealt.mapInArrow(_likely, "node long, label long"))
@@ -235,6 +237,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int =
     wanted = written(members.select("node", "unit", "part").join(nodes.select("node", "first.doc_id", "first.text_hash"), "node"))
     ids = wanted.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    read = only_marked(read, F.col("text_hash"), ids.select(F.col("h").alias("mark")))
     texts = read.join(ids, (read.doc_id.eqNullSafe(ids.d)) & (read.text_hash == ids.h)).select("node", "text").groupBy("node").agg(F.min("text").alias("text"))
     units = wanted.select("node", "unit", "part").join(texts, "node").repartition(parts, "unit").sortWithinPartitions("unit")
     checked = written(units.mapInArrow(_verify(similarity), "node long, label long, links long"))
