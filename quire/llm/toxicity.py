@@ -5,7 +5,7 @@ the expected severity is the sum of these probabilities. x marks which of the ke
 neighbouring words) the whole text has, so a long text counts each once.
 
 The model is fitted on a bounded sample of labelled rows (`sample` documents, those with the least hash of their
-id, and `sample_bytes` of text): their features, not their texts, come to the driver. Weights are sparse by an L1 penalty, so that
+id): of their features those that tell grades apart, at most `FEATURES`, come to the driver, and no text. Weights are sparse by an L1 penalty, so that
 chance words of long clean texts weigh nothing. Scoring covers every whole text in vectorised batches.
 
 Defined cases: null and empty texts have no feature; no labels at all, or one grade only: severity is that grade
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, mix, text_batches, word_hash, words
+from quire.llm.common import U64, mix, text_batches, word_hash, words, written
 
 SAMPLE = 20_000
-SAMPLE_BYTES = 128 << 20
+#: Features that may reach the driver.
+FEATURES = 1 << 14
 LEAST_DOCS = 4
 PENALTY = 2e-4
 THRESHOLD = 0.4
@@ -121,8 +122,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least_docs: int = LEAST_DOCS
     return Model(keys[kept], w[kept], theta, values)
 
 
-def sampled_features(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """grade and features (8 bytes each) of a bounded sample: the labelled documents with the least hash of their id."""
+def sampled_features(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, grade and distinct features of a bounded sample: the labelled ids with the least hash, at most `sample`."""
     graded = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(grade).cast("long")).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
@@ -130,19 +131,41 @@ def sampled_features(docs: DataFrame, labels: DataFrame, grade: str = "toxic", s
     def collect(batches):
         for batch in text_batches(batches):
             h, row = distinct_features(batch.column("text"))
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "grade", "features"])
-
-    rows = read.mapInArrow(collect, "doc_id long, grade long, features binary")
-    ranked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample)
-    size = F.sum(F.octet_length("features")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "features"))
-    return ranked.withColumn("size", size).where(F.col("size") <= sample_bytes).select("grade", "features")
-
-
-def trained(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE, **how) -> Model:
-    rows = sampled_features(docs, labels, grade, sample).toArrow()
-    bytes_of = rows["features"].to_pylist()
-    return fit([np.frombuffer(x, U64) for x in bytes_of], rows["grade"].to_numpy().astype(np.int64), **how)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))], ["doc_id", "grade", "features"])
+
+    rows = read.mapInArrow(collect, "doc_id long, grade long, features array<long>")
+    return rows.groupBy("doc_id", "grade").agg(F.min("features").alias("features"))
+
+
+def screened(rows: DataFrame, least_docs: int, most: int) -> np.ndarray:
+    """The features in enough documents whose grades differ from the mean by more than chance: at most `most`, the clearest."""
+    facts = rows.agg(F.avg("grade"), F.var_pop("grade")).first()
+    mean, spread = float(facts[0] or 0), max(float(facts[1] or 0), 1e-9)
+    per = rows.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("grade").alias("s")).where(F.col("n") >= least_docs)
+    z = F.abs(F.col("s") - F.col("n") * mean) / F.sqrt(F.col("n") * spread)
+    kept = per.withColumn("z", z).where(F.col("z") > 3).orderBy(F.desc("z"), "feature").limit(most).select("feature").toArrow()
+    return np.sort(kept["feature"].to_numpy().astype(np.int64))
+
+
+def trained(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE, most: int = FEATURES, **how) -> Model:
+    """Fitted on the driver from screened features alone: at most `sample` rows of at most `most` distinct ones."""
+    rows = written(sampled_features(docs, labels, grade, sample))
+    kept = screened(rows, how.get("least_docs", LEAST_DOCS), most)
+
+    def only_kept(batches):
+        for batch in batches:
+            lists = batch.column("features")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(kept, flat), max(0, len(kept) - 1))
+            hit = kept[at] == flat if len(kept) else np.zeros(len(flat), bool)
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(flat[hit]))], ["grade", "features"])
+
+    small = rows.select("grade", "features").mapInArrow(only_kept, "grade long, features array<long>").toArrow().combine_chunks()
+    lists = small["features"].combine_chunks() if isinstance(small["features"], pa.ChunkedArray) else small["features"]
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64), lists.offsets.to_numpy()
+    return fit([flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)], small["grade"].to_numpy().astype(np.int64), **how)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
