@@ -56,33 +56,42 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return per.select("rank", "source_key", "source_size", target.alias("target"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """A draw of how many of `drawn` among `total` blocks are marked, from a uniform number, by inversion.
 
-    Weights relative to the mode's are summed within 12 standard deviations (and 12) of it: what is left out is below double precision.
+    Weights relative to the mode's are walked upwards, then downwards, within 9 standard deviations (and 9) of it, once for their
+    sum and once to the place that u picks; what is left out is below double precision.
     """
-    lo, hi = F.greatest(F.lit(0), drawn + marked - total), F.least(drawn, marked)
-    mode = F.greatest(lo, F.least(hi, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("long")))
-    spread = F.sqrt(drawn * (marked / total) * (1 - marked / total))
-    reach = (F.ceil(F.coalesce(spread, F.lit(0.0)) * 12) + 12).cast("long")
-    a, b = F.greatest(lo, mode - reach), F.least(hi, mode + reach)
-
-    def up(w: Column, k: Column) -> Column:  # weight of k from that of k - 1
-        return w * (marked - k + 1) * (drawn - k + 1) / (k * (total - marked - drawn + k)).cast("double")
-
-    def down(w: Column, k: Column) -> Column:  # weight of k from that of k + 1
-        return w * ((k + 1) * (total - marked - drawn + k + 1)).cast("double") / ((marked - k) * (drawn - k))
-
-    start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<struct<k:bigint,w:double>>").alias("all"))
-    grow = lambda step: lambda s, k: F.struct(step(s["w"], k).alias("w"), F.array_append(s["all"], F.struct(k.alias("k"), step(s["w"], k).alias("w"))).alias("all"))
-    none = F.array().cast("array<bigint>")
-    above = F.aggregate(F.when(b > mode, F.sequence(mode + 1, b)).otherwise(none), start, grow(up))["all"]
-    below = F.aggregate(F.when(a < mode, F.sequence(mode - 1, a, F.lit(-1))).otherwise(none), start, grow(down))["all"]
-    every = F.concat(F.reverse(below), F.array(F.struct(mode.alias("k"), F.lit(1.0).alias("w"))), above)
-    mass = F.aggregate(every, F.lit(0.0), lambda s, x: s + x["w"])
-    first = F.struct(F.lit(0.0).alias("sum"), a.alias("k"))
-    found = F.aggregate(every, first, lambda s, x: F.struct((s["sum"] + x["w"]).alias("sum"), F.when(s["sum"] <= u * mass, x["k"]).otherwise(s["k"]).alias("k")))["k"]
-    return F.when((marked <= 0) | (drawn <= 0), F.lit(0).cast("long")).otherwise(found)
+    given = F.struct(total.cast("double").alias("t"), marked.cast("double").alias("m"), drawn.cast("double").alias("d"), u.alias("u"))
+
+    def bounds(p):
+        lo, hi = F.greatest(F.lit(0.0), p["d"] + p["m"] - p["t"]), F.least(p["d"], p["m"])
+        mode = F.greatest(lo, F.least(hi, F.floor((p["d"] + 1) * (p["m"] + 1) / (p["t"] + 2)).cast("double")))
+        reach = F.ceil(F.sqrt(p["d"] * (p["m"] / p["t"]) * (1 - p["m"] / p["t"])) * 9).cast("double") + 9
+        whole = lambda c: c.cast("long")
+        return F.struct(p["t"].alias("t"), p["m"].alias("m"), p["d"].alias("d"), p["u"].alias("u"), whole(mode).alias("mode"), whole(F.greatest(lo, mode - reach)).alias("a"), whole(F.least(hi, mode + reach)).alias("b"))
+
+    def draw(p):
+        none = F.array().cast("array<bigint>")
+        above = F.when(p["b"] > p["mode"], F.sequence(p["mode"] + 1, p["b"])).otherwise(none)
+        below = F.when(p["a"] < p["mode"], F.sequence(p["mode"] - 1, p["a"], F.lit(-1).cast("long"))).otherwise(none)
+        up = lambda w, k: w * (p["m"] - k + 1) * (p["d"] - k + 1) / (k * (p["t"] - p["m"] - p["d"] + k))
+        down = lambda w, k: w * ((k + 1) * (p["t"] - p["m"] - p["d"] + k + 1)) / ((p["m"] - k) * (p["d"] - k))
+        summed = lambda way, ks: F.aggregate(ks, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")), lambda s, k: _let(way(s["w"], k), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))))["sum"]
+
+        def walked(way, ks, left, at):
+            start = F.struct(F.lit(1.0).alias("w"), left.alias("left"), at.alias("k"))
+            return F.aggregate(ks, start, lambda s, k: _let(way(s["w"], k), lambda w: F.struct(w.alias("w"), F.when(s["left"] < 0, s["left"]).otherwise(s["left"] - w).alias("left"), F.when(s["left"] < 0, s["k"]).otherwise(k).alias("k"))))
+
+        rest = p["u"] * (1 + summed(up, above) + summed(down, below)) - 1
+        return _let(walked(up, above, rest, p["mode"]), lambda s: F.when(s["left"] < 0, s["k"]).otherwise(walked(down, below, s["left"], s["k"])["k"]))
+
+    return F.when((marked <= 0) | (drawn <= 0), F.lit(0).cast("long")).otherwise(_let(_let(given, bounds), draw))
 
 
 def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -99,7 +108,7 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Da
 
         def draw(s, x):
             u = _uniform(seed, F.col("first_shard"), F.col("n"), x["rank"])
-            return F.transform(F.array(hypergeometric(s["total"], x["blocks"], s["cap"], u)), lambda k: F.struct((s["total"] - x["blocks"]).alias("total"), (s["cap"] - k).alias("cap"), F.array_append(s["left"], k).alias("left")))[0]
+            return _let(hypergeometric(s["total"], x["blocks"], s["cap"], u), lambda k: F.struct((s["total"] - x["blocks"]).alias("total"), (s["cap"] - k).alias("cap"), F.array_append(s["left"], k).alias("left")))
 
         node = node.withColumn("left", F.aggregate("q", start, draw)["left"])
         left = F.struct(F.col("first_shard"), F.when(F.col("n") > 1, F.col("half")).otherwise(F.col("n")).alias("n"), F.when(F.col("n") > 1, F.zip_with("q", "left", lambda x, k: F.struct(x["rank"].alias("rank"), k.alias("blocks")))).otherwise(F.col("q")).alias("q"))
