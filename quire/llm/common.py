@@ -213,8 +213,9 @@ def number_of_words(text) -> "F.Column":
 MARK_BITS = 22
 
 
-def only_marked(df: DataFrame, key, wanted: DataFrame) -> DataFrame:
+def only_marked(df: DataFrame, key, wanted: DataFrame, inside: bool = True) -> DataFrame:
     """The rows whose key may be among wanted's `mark` (64-bit hashes): fewer rows for the join that decides.
+    With inside=False the other rows, whose keys are certainly not among them.
 
     The executors get one map of 2^22 bits (half a megabyte), however many keys there are.
     """
@@ -225,4 +226,5 @@ def only_marked(df: DataFrame, key, wanted: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
     df = df.withColumn("_m", place(key))
-    return df.join(F.broadcast(maps), F.shiftright(df["_m"], 15) == maps["_part"]).where(hit).drop("_m", "_part", "_map")
+    met = df.join(F.broadcast(maps), F.shiftright(df["_m"], 15) == maps["_part"], "inner" if inside else "left")
+    return met.where(hit if inside else ~F.coalesce(hit, F.lit(False))).drop("_m", "_part", "_map")

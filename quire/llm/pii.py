@@ -105,7 +105,7 @@ def _joined(spans: Column) -> Column:
 
 
 def disclosing_terms(texts: DataFrame, base: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(term, disclosure) from `least` on, and (term, text_hash) where candidate terms occur.
+    """(term, disclosure) from `least` on, and (term, text_hash) where those terms occur.
 
     texts: text, text_hash; base: text_hash, spans.
     """
@@ -123,13 +123,18 @@ def disclosing_terms(texts: DataFrame, base: DataFrame, support: int = SUPPORT,
     most = F.col("n_te") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), 1 - least) + 1e-6
     pairs = written(both.join(some, "term").where(F.col("seen") <= most))
     candidates = pairs.select("term").distinct()
-    marks = candidates.select(F.xxhash64("term").alias("mark"))
-    every = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
-    places = written(only_marked(every, F.xxhash64("term"), marks).join(candidates, "term").distinct())
-    counts = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    copied = base.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("mark"))
+    terms = lambda t: t.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
+    wanted_terms = candidates.select(F.xxhash64("term").alias("mark"))
+    # texts without copies are counted where they are; only those with copies need their (term, text) pairs made distinct
+    alone = only_marked(terms(only_marked(texts, F.col("text_hash"), copied, inside=False)), F.xxhash64("term"), wanted_terms).groupBy("term").agg(F.count("*").alias("n"))
+    twice = only_marked(terms(only_marked(texts, F.col("text_hash"), copied)), F.xxhash64("term"), wanted_terms).distinct().groupBy("term").agg(F.count("*").alias("n"))
+    counts = alone.unionByName(twice).groupBy("term").agg(F.sum("n").alias("n_t"))
     d = F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     told = pairs.join(counts, "term").where(F.col("n_e") < n).select("term", d.alias("d")).groupBy("term").agg(F.max("d").alias("disclosure"))
-    return told.where(F.col("disclosure") >= least), places
+    told = written(told.where(F.col("disclosure") >= least))
+    places = only_marked(terms(texts), F.xxhash64("term"), told.select(F.xxhash64("term").alias("mark"))).join(told.select("term"), "term").distinct()
+    return told, places
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
