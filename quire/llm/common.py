@@ -168,9 +168,10 @@ def word_hash(word: str, fold: str = "") -> int:
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k words in a row, with row pointers; a row with fewer words, but some, has one shingle of them all."""
     n, counts = len(w.hashes), w.counts()
-    rolled = np.zeros(max(0, n - k + 1), U64)
+    size = max(0, n - k + 1)
+    rolled = np.zeros(size, U64)
     for j in range(k):
-        rolled = rolled * _STEP + w.hashes[j : n - k + 1 + j]
+        rolled = rolled * _STEP + w.hashes[j : j + size]
     rolled = mix(rolled)
     left = np.repeat(w.rows[1:], counts) - np.arange(n)  # words from here to the row's end
     full = np.flatnonzero(left[: len(rolled)] >= k)

@@ -38,9 +38,10 @@ def item_words(texts: pa.Array):
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of every k words in a row."""
-    out = np.zeros(max(0, len(hashes) - k + 1), U64)
+    n = max(0, len(hashes) - k + 1)
+    out = np.zeros(n, U64)
     for j in range(k):
-        out = out * _STEP + hashes[j : len(hashes) - k + 1 + j]
+        out = out * _STEP + hashes[j : j + n]
     return mix(out)
 
 
