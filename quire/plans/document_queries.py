@@ -27,6 +27,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, dealt out anew only where the files give fewer tasks than there are cores."""
+    docs, cores = _t(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _all.items()}
 
@@ -45,19 +51,19 @@ p AS (SELECT doc_id, i // 50 AS page_index, regexp_replace(coalesce(string_agg(l
 @_query(_PAGES + "SELECT doc_id, count(*)::INTEGER AS n_pages, sha256(string_agg(t, chr(12) ORDER BY page_index)) AS text_sha FROM p GROUP BY doc_id")
 def document_text(spark, d):
     """Author, parse, extract: every whole text survives the way into a file and back."""
-    texts = D.document_texts(D.authored(_t(spark, d, "documents")))
+    texts = D.document_texts(D.authored(_docs(spark, d)))
     return texts.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\f"), F.lit(""))) + 1).cast("int").alias("n_pages"), F.sha2("text", 256).alias("text_sha"))
 
 
 @_query(_PAGES + "SELECT doc_id, page_index::INTEGER AS page_index, sha256(t) AS text_sha FROM p")
 def page_text(spark, d):
-    files = D.authored(_t(spark, d, "documents"), kind="packed")
+    files = D.authored(_docs(spark, d), kind="packed")
     return D.page_texts(files).select("doc_id", "page_index", F.sha2("text", 256).alias("text_sha"))
 
 
 @_query("SELECT doc_id, '1.7' AS version, 'Strict' AS open_mode, ((length(text) - length(replace(text, chr(10), ''))) // 50 + 1)::INTEGER AS n_pages, doc_id::VARCHAR AS title, false AS encrypted FROM documents")
 def document_meta(spark, d):
-    return D.meta(D.authored(_t(spark, d, "documents"), kind="xref")).select("doc_id", "version", "open_mode", "n_pages", "title", "encrypted")
+    return D.meta(D.authored(_docs(spark, d), kind="xref")).select("doc_id", "version", "open_mode", "n_pages", "title", "encrypted")
 
 
 @_query("SELECT doc_id, 'Recovered' AS open_mode, ((length(text) - length(replace(text, chr(10), ''))) // 50 + 1)::INTEGER AS n_pages FROM documents")
@@ -67,7 +73,7 @@ def recovered_open(spark, d):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[: x.rfind(b"startxref")] for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
 
-    files = D.authored(_t(spark, d, "documents")).mapInArrow(broken, "doc_id long, content binary")
+    files = D.authored(_docs(spark, d)).mapInArrow(broken, "doc_id long, content binary")
     return D.meta(files).select("doc_id", "open_mode", "n_pages")
 
 
@@ -94,7 +100,7 @@ def fill_form_bytes(spark, d):
 
 @_query("SELECT doc_id, i::INTEGER AS ord, 'Page ' || (i + 1) AS title, i::INTEGER AS dest_page FROM documents, range(0, (length(text) - length(replace(text, chr(10), ''))) // 50 + 1) r(i)")
 def outline_rows(spark, d):
-    return D.outline_nodes(D.authored(_t(spark, d, "documents"), outline_titles=True)).select("doc_id", "ord", "title", "dest_page")
+    return D.outline_nodes(D.authored(_docs(spark, d), outline_titles=True)).select("doc_id", "ord", "title", "dest_page")
 
 
 @_query("SELECT page_id, page_id || '.html' AS name, sha256(html) AS digest FROM pages")
@@ -110,7 +116,7 @@ def attachment_rows(spark, d):
 
 @_query("SELECT doc_id, 'F1' AS resource, 'Helvetica' AS base_font, 'Type1' AS subtype FROM documents")
 def document_fonts(spark, d):
-    return D.fonts(D.authored(_t(spark, d, "documents"))).select("doc_id", "resource", "base_font", "subtype")
+    return D.fonts(D.authored(_docs(spark, d))).select("doc_id", "resource", "base_font", "subtype")
 
 
 @_query("SELECT lang, count(*) AS n_docs, sum((length(text) - length(replace(text, chr(10), ''))) // 50 + 1)::BIGINT AS n_pages FROM documents GROUP BY lang")
@@ -125,29 +131,29 @@ def merge_pages(spark, d):
 
 @_query("SELECT doc_id, 0 AS page_index, 90::BIGINT AS rotate FROM documents")
 def rotate_page_bytes(spark, d):
-    files = D.edited(D.authored(_t(spark, d, "documents")), lambda x: structure.rotate_page(x, 0, 450))
+    files = D.edited(D.authored(_docs(spark, d)), lambda x: structure.rotate_page(x, 0, 450))
     return D.page_table(files).where("page_index = 0").select("doc_id", "page_index", "rotate")
 
 
 @_query(_PAGES + "SELECT doc_id, 0 AS page_index, sha256(t) AS text_sha FROM p WHERE page_index = 0 UNION ALL SELECT doc_id, 1, sha256(t) FROM p WHERE page_index = 0")
 def extract_pages_bytes(spark, d):
-    files = D.edited(D.authored(_t(spark, d, "documents")), lambda x: structure.extract_pages(x, [0, 0, 9999]))
+    files = D.edited(D.authored(_docs(spark, d)), lambda x: structure.extract_pages(x, [0, 0, 9999]))
     return D.page_texts(files).select("doc_id", "page_index", F.sha2("text", 256).alias("text_sha"))
 
 
 @_query(_PAGES + "SELECT doc_id, page_index::INTEGER AS page_index, sha256(t) AS text_sha FROM p")
 def fragment_layout(spark, d):
     """Positioned fragments as a table, put in reading order by DataFrame operations alone."""
-    f = D.fragment_table(D.authored(_t(spark, d, "documents")))
+    f = D.fragment_table(D.authored(_docs(spark, d)))
     laid = reading_order(f, ["doc_id", "page_index"], "x", "y", "seq", "text")
-    pages = D.page_table(D.authored(_t(spark, d, "documents"))).select("doc_id", "page_index")
+    pages = D.page_table(D.authored(_docs(spark, d))).select("doc_id", "page_index")
     text = F.regexp_replace(F.coalesce("page_text", F.lit("")), r"^\s+|\s+$", "")
     return pages.join(laid, ["doc_id", "page_index"], "left").select("doc_id", "page_index", F.sha2(text, 256).alias("text_sha"))
 
 
 @_query("SELECT doc_id, 'Tj' AS operator, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n FROM documents")
 def operation_counts(spark, d):
-    ops = D.operation_table(D.authored(_t(spark, d, "documents")))
+    ops = D.operation_table(D.authored(_docs(spark, d)))
     return ops.where("operator = 'Tj'").groupBy("doc_id", "operator").agg(F.count("*").alias("n"))
 
 
