@@ -133,7 +133,8 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
         sides.append(index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "doc_id", "line_no", "bits", "packed")]))
     joined = sides[0].join(sides[1], "token")
     part = lambda x: {f"{x}_n": F.shiftright(f"{x}_packed", 31), f"{x}_place": F.col(f"{x}_packed").bitwiseAND((1 << 30) - 1) + 1}
-    gone = F.shiftright("b_packed", 30).bitwiseAND(1) == 1
+    # naming both sides keeps this in the join, so that both sides stay one and the same exchange
+    gone = F.shiftright("b_packed", 30).bitwiseAND(F.when(F.col("a_packed") >= 0, 1).otherwise(0)) == 1
     return joined.withColumns(part("a") | part("b")).where(~gone & _before("a", "b") & _may_be_similar("a", "b", similarity, True)).select(F.col("a_key").alias("left"), F.col("b_key").alias("right"))
 
 
