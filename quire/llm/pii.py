@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation of personal data; DataFrame operations only.
 
-Base entities are spans of four kinds, found by pattern in every whole text. An entity that several distinct texts share is
+Base entities are spans of four kinds, found by pattern in every whole text. An entity, however rare, is
 protected beyond its own spans: a term t of the corpus discloses it as far as
 
     D(t, e) = PMI(t, e) / IC(e) = log(n_te n / (n_t n_e)) / log(n / n_e)
 
-with counts of distinct texts: n of all, n_t with the term, n_e with the entity, n_te with both (at least `SUPPORT`).
-D = 1 means that whoever reads the term knows the entity. From `GENERALISE` on, a term is generalised (to [WORD] or [NUMBER]) in
+with counts of distinct texts: n of all, n_t with the term, n_e with the entity, n_te with both. Both means that the term stands
+whole within `WINDOW` characters of a span of the entity (or in it), in any number of texts; or anywhere in the same text, if at least
+`SUPPORT` texts have both, as fewer may meet by chance. The larger D counts. D = 1 means that whoever reads the term knows the entity. From `GENERALISE` on, a term is generalised (to [WORD] or [NUMBER]) in
 every text that has it; from `REMOVE` on it is removed. Terms are runs of letters and digits, lower-cased.
 
 Defined cases: null text is empty; empty texts have no span; exact copies count as one text in the statistics, and each gets its
@@ -22,7 +23,10 @@ from quire.llm.common import only_marked, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+#: Texts that must hold a term and an entity if the term may stand anywhere in them; beside the entity one is enough.
 SUPPORT = 3
+#: Characters on each side of an entity that are beside it.
+WINDOW = 64
 GENERALISE = 0.9
 REMOVE = 0.98
 
@@ -100,28 +104,44 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
+def _beside(text: Column, start: Column, end: Column, window: int) -> Column:
+    """The terms that stand whole within so many characters of the span, and the span's own."""
+    first = F.greatest(start - window - 1, F.lit(0))  # one more on each side shows whether a term goes on there
+    piece = F.substring(text, (first + 1).cast("int"), (end + window + 1 - first).cast("int"))
+    piece = F.when(start > window, F.regexp_replace(piece, rf"^{_TERM}", "")).otherwise(piece)
+    piece = F.when(F.length(text) > end + window, F.regexp_replace(piece, rf"(?<![\p{{L}}\p{{N}}]){_TERM}+\z", "")).otherwise(piece)
+    return _terms(piece)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def disclosing_terms(texts: DataFrame, base: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(texts: DataFrame, base: DataFrame, support: int = SUPPORT, least: float = GENERALISE, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(term, disclosure) from `least` on, and (term, text_hash) where those terms occur.
 
     texts: text, text_hash; base: text_hash, spans.
     """
     value = lambda x: F.when(x["kind"].isin("card", "phone"), _digits(x["value"])).otherwise(F.lower(x["value"]))
-    held = base.where(F.size("spans") > 0).select("text_hash", F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], value(x))))).alias("entity")).distinct()
+    entity = lambda x: F.concat_ws(":", x["kind"], value(x))
     n = base.select("text_hash").distinct().count()
-    often = held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    held = written(held.join(often, "entity"))
-    wanted = held.select(F.col("text_hash").alias("mark"))
-    near = only_marked(texts, F.col("text_hash"), wanted).select("text_hash", _terms(F.col("text")).alias("terms")).groupBy("text_hash").agg(F.first("terms").alias("terms"))
-    near = held.join(near, "text_hash").select("entity", "n_e", "text_hash", F.explode("terms").alias("term"))
+    wanted = base.where(F.size("spans") > 0).select(F.col("text_hash").alias("mark"))
+    holders = only_marked(texts, F.col("text_hash"), wanted).groupBy("text_hash").agg(F.first("text").alias("text"))
+    holders = written(holders.withColumn("spans", base_spans(F.col("text")))).where(F.size("spans") > 0)
+    held = holders.select("text_hash", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    sizes = written(held.groupBy("entity").agg(F.count("*").alias("n_e")))
+    often = written(held.join(sizes.where(F.col("n_e") >= support), "entity"))
+    near = often.join(holders.select("text_hash", _terms(F.col("text")).alias("terms")), "text_hash").select("entity", "n_e", "text_hash", F.explode("terms").alias("term"))
     both = near.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    each = F.transform("spans", lambda x: F.struct(entity(x).alias("entity"), _beside(F.col("text"), x["start"], x["end"], window).alias("terms")))
+    beside = holders.select("text_hash", F.explode(each).alias("x")).select("text_hash", "x.entity", F.explode("x.terms").alias("term"))
+    beside = written(beside.distinct())
+    single = beside.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(sizes, "entity").select("entity", "n_e", "term", "n_te")
     # n_t is at least the number of texts here: that already rules out the common terms
-    some = near.groupBy("term").agg(F.count_distinct("text_hash").alias("seen"))
+    seen = lambda d: d.groupBy("term").agg(F.count_distinct("text_hash").alias("seen"))
     most = F.col("n_te") * F.pow(F.lit(float(max(n, 1))) / F.col("n_e"), 1 - least) + 1e-6
-    pairs = written(both.join(some, "term").where(F.col("seen") <= most))
+    few = lambda pairs, d: pairs.join(seen(d), "term").where(F.col("seen") <= most)
+    pairs = written(few(both, near).unionByName(few(single, beside)))
     candidates = pairs.select("term").distinct()
     copied = base.groupBy("text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("mark"))
     terms = lambda t: t.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))

@@ -92,6 +92,32 @@ def test_pii_disclosure(spark):
     assert "zorblax" not in clean[900] and "[EMAIL]" in clean[0] and clean[100] == other[0][1]
 
 
+def test_pii_rare_entity(spark):
+    """A name beside an address that one text holds goes, by the production parameters; a rare word far from it and common words stay."""
+    far = "the other day " * 10
+    told = [(0, f"farword {far}Zorblax wrote from zed@mail.example the other day {far}endword")]
+    other = [(100 + i, f"somebody wrote from the other day the mail example unique{i}") for i in range(200)]
+    d = spark.createDataFrame([*told, *other, (900, "the other day zed wrote")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.found(d).collect()}
+    assert got[0].n_term == 1 and got[900].n_term == 0 and got[100].n_term == 0  # zed is in 2 of 202 texts: D = 0.87
+    clean = {r.doc_id: r.text for r in pii.sanitised(d).collect()}
+    assert clean[0] == f"farword {far} wrote from [EMAIL] the other day {far}endword" and clean[100] == other[0][1]
+    got = {r.doc_id: r.spans for r in pii.found(d, least=0.85).collect()}
+    assert got[900] == "term:14:17"
+
+
+def test_pii_beside(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "é", " ", "-", "9", "x" * rng.randrange(9)]) for _ in range(rng.randrange(1, 80))) for _ in range(200)]
+    rows = []
+    for t in texts:
+        a = rng.randrange(len(t) + 1)
+        rows.append((t, a, rng.randrange(a, len(t) + 1)))
+    d = spark.createDataFrame(rows, "text string, start long, end long")
+    for r in d.withColumn("got", pii._beside(F.col("text"), F.col("start"), F.col("end"), 5)).collect():
+        assert set(r.got) == {m[0] for m in re.finditer(r"[^\W_]+", r.text) if m.start() >= r.start - 5 and m.end() <= r.end + 5}
+
+
 # --- 2
 
 
