@@ -7,7 +7,7 @@ still be shared after the token) and by a 64-bit map of the tokens (each differi
 left is verified on the whole sets. Before that join a few pairs for each class are tried with the first holders of its
 tokens: most members of large groups of near copies are then settled and need not meet each other. Sets of fewer than 4 tokens are similar only when equal.
 
-A line is removed if a line before it, by (doc_id, line number), is similar, whether that one stays or not.
+A line is removed if a line before it, by (doc_id, hash of the text, line number), is similar, whether that one stays or not.
 
 Defined cases: null and empty texts have one empty line; lines without tokens stay; null ids come first; lines
 at the same place of rows that repeat an id and a text are one place, and stay or go together; other columns are not read.
@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from quire.llm.common import only_marked, written
 
 SIMILARITY = 0.8
+#: What tells a line from all others: rows that agree in it are one.
+PLACE = ("doc_id", "text_hash", "line_no")
 #: Hashed bins of token counts: their levels (4 bits each) are the one thing that goes through the driver.
 BIN_BITS = 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """doc_id, text_hash, line_no (from 0), line: the first three are the line's place."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def _tokens(line: Column) -> Column:
@@ -53,7 +56,7 @@ def _needed(a: Column, b: Column, t: float) -> Column:
 
 
 def line_classes(docs: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
-    """key (hash of the token set), doc_id and line_no of the first line with it, n, bits, prefix (the rarest tokens, in order)."""
+    """key (hash of the token set), doc_id, text_hash and line_no of the first line with it, n, bits, prefix (the rarest tokens, in order)."""
     packed = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
 
     def ranked(x: Column) -> Column:
@@ -61,21 +64,22 @@ def line_classes(docs: DataFrame, similarity: float, levels: list[int]) -> DataF
         level = F.call_function("shiftright", F.get(packed, F.shiftright(bin_, 4).cast("int")), (bin_.bitwiseAND(15) * 4).cast("int")).bitwiseAND(15)
         return F.shiftleft(level, 59).bitwiseOR(x)
 
-    s = _lines(docs).select("doc_id", "line_no", F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0)
-    s = s.select("doc_id", "line_no", F.xxhash64("set").alias("key"), F.sort_array(F.transform("set", ranked)).alias("tokens"))
+    s = _lines(docs).select(*PLACE, F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0)
+    s = s.select(*PLACE, F.xxhash64("set").alias("key"), F.sort_array(F.transform("set", ranked)).alias("tokens"))
     n = F.size("tokens")
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(63).cast("int"))
     bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
     prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
-    s = s.select("doc_id", "line_no", "key", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
-    first = s.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return first.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n", "bits", "prefix")
+    s = s.select(*PLACE, "key", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    first = s.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    return first.select("key", *[F.col(f"first.{c}").alias(c) for c in PLACE], "n", "bits", "prefix")
 
 
 def _before(a: str, b: str) -> Column:
     """Whether line a stands before line b; null ids come first."""
     x, y = F.col(f"{a}_doc_id"), F.col(f"{b}_doc_id")
-    return F.when(x.eqNullSafe(y), F.col(f"{a}_line_no") < F.col(f"{b}_line_no")).otherwise(F.coalesce(x < y, x.isNull()))
+    s, t = F.col(f"{a}_text_hash"), F.col(f"{b}_text_hash")
+    return F.when(x.eqNullSafe(y), (s < t) | ((s == t) & (F.col(f"{a}_line_no") < F.col(f"{b}_line_no")))).otherwise(F.coalesce(x < y, x.isNull()))
 
 
 def _may_be_similar(a: str, b: str, t: float, placed: bool) -> Column:
@@ -86,13 +90,13 @@ def _may_be_similar(a: str, b: str, t: float, placed: bool) -> Column:
 
 
 def token_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key, tokens of the lines at the given places (key, doc_id, line_no).
+    """key, tokens of the lines at the given places (key, doc_id, text_hash, line_no).
 
     Only lines whose hashed place is marked in a map of bounded size go through the join.
     """
-    wanted = places.select(F.xxhash64("doc_id", "line_no").alias("mark"))
-    lines = only_marked(_lines(docs), F.xxhash64("doc_id", "line_no"), wanted).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.sort_array(_tokens(F.col("line"))).alias("tokens"))
-    found = places.join(lines, places.doc_id.eqNullSafe(lines.d) & (places.line_no == lines.l))
+    wanted = places.select(F.xxhash64(*PLACE).alias("mark"))
+    lines = only_marked(_lines(docs), F.xxhash64(*PLACE), wanted).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.sort_array(_tokens(F.col("line"))).alias("tokens"))
+    found = places.join(lines, places.doc_id.eqNullSafe(lines.d) & (places.text_hash == lines.t) & (places.line_no == lines.l))
     return found.where(F.xxhash64("tokens") == F.col("key")).select("key", "tokens").dropDuplicates(["key"])
 
 
@@ -100,7 +104,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     """right, match (left) and jaccard of the pairs (left, right) that are similar: the best match of each right."""
     pairs = written(pairs.distinct())
     used = pairs.select(F.col("left").alias("key")).unionByName(pairs.select(F.col("right").alias("key"))).distinct()
-    sets = written(token_sets(docs, classes.select("key", "doc_id", "line_no").join(used, "key", "left_semi")))
+    sets = written(token_sets(docs, classes.select("key", *PLACE).join(used, "key", "left_semi")))
     a, b = (sets.select(F.col("key").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in ("left", "right"))
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     union = F.size("left_tokens") + F.size("right_tokens") - shared
@@ -112,9 +116,9 @@ def anchored(classes: DataFrame, similarity: float, orders: int = 3, anchors: in
     """Pairs of each class with the first classes that share its least prefix token under some hash orders: few, in
     proportion to the classes, and enough to find a match for nearly every member of a large group of near copies."""
     tokens = F.array_distinct(F.array(*[F.array_min(F.transform("prefix", lambda x: F.struct(F.xxhash64(x, F.lit(o)).alias("h"), x.alias("x"))))["x"] for o in range(orders)]))
-    columns = ("key", "doc_id", "line_no", "n", "bits")
+    columns = ("key", *PLACE, "n", "bits")
     index = classes.where(F.size("prefix") > 0).select(*columns, F.explode(tokens).alias("token"))
-    w = Window.partitionBy("token").orderBy(F.asc_nulls_first("doc_id"), "line_no", "key")
+    w = Window.partitionBy("token").orderBy(F.asc_nulls_first("doc_id"), "text_hash", "line_no", "key")
     for k in range(1, anchors + 1):
         nth = F.nth_value(F.struct(*columns), k).over(w)
         index = index.withColumn(f"anchor{k}", nth)
@@ -126,11 +130,11 @@ def anchored(classes: DataFrame, similarity: float, orders: int = 3, anchors: in
 def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """left, right: classes (left first) whose prefixes meet and that pass the filters, for all rights not yet `gone`."""
     packed = F.col("n").cast("long") * (1 << 31) + F.when(F.col("gone"), 1 << 30).otherwise(0)
-    index = classes.where(F.size("prefix") > 0).select("key", "doc_id", "line_no", "bits", packed.alias("packed"), F.posexplode("prefix").alias("place", "token"))
-    index = index.select("token", "key", "doc_id", "line_no", "bits", (F.col("packed") + F.col("place")).alias("packed"))
+    index = classes.where(F.size("prefix") > 0).select("key", *PLACE, "bits", packed.alias("packed"), F.posexplode("prefix").alias("place", "token"))
+    index = index.select("token", "key", *PLACE, "bits", (F.col("packed") + F.col("place")).alias("packed"))
     sides = []
     for x in "ab":
-        sides.append(index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", "doc_id", "line_no", "bits", "packed")]))
+        sides.append(index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", *PLACE, "bits", "packed")]))
     joined = sides[0].join(sides[1], "token")
     part = lambda x: {f"{x}_n": F.shiftright(f"{x}_packed", 31), f"{x}_place": F.col(f"{x}_packed").bitwiseAND((1 << 30) - 1) + 1}
     # naming both sides keeps this in the join, so that both sides stay one and the same exchange
@@ -139,34 +143,34 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def repeated_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key, doc_id, line_no of every class's first line; match and jaccard where a class before it is similar."""
+    """key, doc_id, text_hash, line_no of every class's first line; match and jaccard where a class before it is similar."""
     classes = written(line_classes(docs, similarity, rarity_levels(docs)))
     first = written(verified(docs, classes, anchored(classes, similarity), similarity))
     flagged = classes.join(first.select(F.col("right").alias("key"), F.lit(True).alias("found")), "key", "left").withColumn("gone", F.coalesce("found", F.lit(False))).drop("found")
     rest = verified(docs, classes, candidates(flagged, similarity), similarity)
     removed = written(first.unionByName(rest))
-    return classes.select("key", "doc_id", "line_no").join(removed.withColumnRenamed("right", "key"), "key", "left")
+    return classes.select("key", *PLACE).join(removed.withColumnRenamed("right", "key"), "key", "left")
 
 
 def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, line_no, match (key of the class that it repeats), jaccard: the lines to remove."""
-    classes = repeated_classes(docs, similarity).select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "match", "jaccard")
-    lines = _lines(docs).select("doc_id", "line_no", F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0).select("doc_id", "line_no", F.xxhash64("set").alias("key"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
+    """doc_id, text_hash, line_no, match (key of the class that it repeats), jaccard: the lines to remove."""
+    classes = repeated_classes(docs, similarity).select("key", F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_text"), F.col("line_no").alias("first_line"), "match", "jaccard")
+    lines = _lines(docs).select(*PLACE, F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0).select(*PLACE, F.xxhash64("set").alias("key"))
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line")))
     out = lines.join(classes, "key").where(later | F.col("match").isNotNull())
-    return out.select("doc_id", "line_no", F.coalesce("match", "key").alias("match"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    return out.select(*PLACE, F.coalesce("match", "key").alias("match"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_removed, removed (line numbers from 0, ascending), for each id with a line to remove."""
-    return marked_lines(docs, similarity).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).select("doc_id", F.size("removed").alias("n_removed"), "removed")
+    """doc_id, n_removed, removed (line numbers from 0, ascending), text_hash, for each id and text with a line to remove."""
+    return marked_lines(docs, similarity).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).select("doc_id", F.size("removed").alias("n_removed"), "removed", "text_hash")
 
 
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns as they came, their texts without the repeated lines; no document goes."""
-    gone = removed_lines(docs, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"), F.col("removed").alias("_removed"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._gone_id), "left")
+    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._gone_id) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone._gone_text), "left")
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])

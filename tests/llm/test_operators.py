@@ -370,6 +370,14 @@ def test_line_dedup(spark, docs, edge, none):
     assert out.columns == edge.columns and out.count() == edge.count() and line_dedup.removed_lines(none).count() == 0
 
 
+def test_line_dedup_shared_ids(spark):
+    """Different texts under one id, or none: only their own repeated lines go, also at the same line number."""
+    for no in (None, 7):
+        rows = [(no, "P\nQ"), (no, "R\nP"), (no, "S\nQ"), (no, "T"), (no, "T")]
+        out = [r.text.split("\n") for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert Counter(x for lines in out for x in lines if x) == Counter({"P": 1, "Q": 1, "R": 1, "S": 1, "T": 2})
+
+
 # --- the pipeline
 
 
