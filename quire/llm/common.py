@@ -47,6 +47,43 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one call in the shared folder; drop() deletes those that are not needed any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/quire-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until df has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64)."""
     x = x.astype(U64, copy=True)
@@ -214,13 +251,13 @@ def number_of_words(text) -> "F.Column":
 MARK_BITS = 22
 
 
-def only_marked(df: DataFrame, key, wanted: DataFrame, inside: bool = True) -> DataFrame:
+def only_marked(df: DataFrame, key, wanted: DataFrame, inside: bool = True, bits: int = MARK_BITS) -> DataFrame:
     """The rows whose key may be among wanted's `mark` (64-bit hashes): fewer rows for the join that decides.
     With inside=False the other rows, whose keys are certainly not among them.
 
-    The executors get one map of 2^22 bits (half a megabyte), however many keys there are.
+    The executors get one map of 2^`bits` bits (half a megabyte), however many keys there are.
     """
-    place = lambda c: F.pmod(c, F.lit(1 << MARK_BITS))
+    place = lambda c: F.pmod(c, F.lit(1 << bits))
     m = place(F.col("mark"))
     maps = wanted.select(m.alias("m")).groupBy(F.shiftright("m", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("_map"))
     at = F.col("_m").bitwiseAND(32767)

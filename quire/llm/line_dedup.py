@@ -1,30 +1,40 @@
 """Line dedup: an exact set-similarity join of lines; DataFrame operations only.
 
-A line is the set of its tokens (between white space, as written). Lines with equal sets form a class. Tokens are
-ordered by rarity: exact counts of all lines' tokens in 2^20 hashed bins, kept as powers of two, then by hash. Two sets with Jaccard >= t share one
-of the first n - ceil(t n) + 1 tokens of each; classes meet in a join on those prefix tokens, filtered by length, by position (what can
-still be shared after the token) and by a 64-bit map of the tokens (each differing bit is a differing token). What is
-left is verified on the whole sets. Before that join a few pairs for each class are tried with the first holders of its
-tokens: most members of large groups of near copies are then settled and need not meet each other. Sets of fewer than 4 tokens are similar only when equal.
+A line is the set of its tokens (between white space, as written). One pass over the texts counts all tokens in 2^18
+hashed bins; a second one writes, for each line, its token set's hash and size, a sketch, and its prefix: with the
+tokens in order of rarity (quarter octaves of their bin's count, then hash), sets with Jaccard >= t share one of the
+first n - ceil(t n) + 1 of each. Lines with equal sets form a class; only the class's first line goes on. Classes get
+numbers in the order of their first lines and meet in a join on the prefix tokens, filtered by length, by position
+(what can still be shared after the token) and by the sketch: the parities of the tokens' hashes in 128 cells, of which
+every differing token turns one. Pairs that pass are verified on the whole token sets, read again from the texts: first the likeliest
+earlier partner of each class, then the others of the classes still without a match.
+
+Before that join, classes of crowded groups are compared with the first class that shares one of three min-hashes of
+their prefix. Those that match it are settled: pairs of two settled classes are not made, so that a group of near copies costs about its size, not its square.
 
 A line is removed if a line before it, by (doc_id, hash of the text, line number), is similar, whether that one stays or not.
 
 Defined cases: null and empty texts have one empty line; lines without tokens stay; null ids come first; lines
-at the same place of rows that repeat an id and a text are one place, and stay or go together; other columns are not read.
+at the same place of rows that repeat an id and a text are one place, and stay or go together; ids that several texts
+share, and null ids, are told apart by the text's hash; other columns are not read, and keep their names and values.
+Sets are the same if their 64-bit hashes are, tokens if their 56-bit codes are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import only_marked, written
+from quire.llm.common import Scratch, free_names, only_marked, written
 
 SIMILARITY = 0.8
 #: What tells a line from all others: rows that agree in it are one.
 PLACE = ("doc_id", "text_hash", "line_no")
-#: Hashed bins of token counts: their levels (4 bits each) are the one thing that goes through the driver.
-BIN_BITS = 20
+#: Hashed bins of token counts; their levels are the one thing that goes through the driver.
+BIN_BITS = 18
+#: Classes that share a min-hash before they count as crowded, and bins in which they are counted first.
+CROWD = 32
+CROWD_BITS = 18
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,20 +43,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct 59-bit token hashes."""
-    words = F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-    return F.array_distinct(F.transform(words, lambda x: F.shiftrightunsigned(F.xxhash64(x), 5)))
+def _words(text: Column) -> Column:
+    """The tokens of a text without line ends; translating only where there is something to translate is much cheaper."""
+    other = [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"]
+    plain = F.when(other[0] | other[1] | other[2] | other[3], F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _bin(token: Column) -> Column:
+    return F.xxhash64(token).bitwiseAND((1 << BIN_BITS) - 1).cast("int")
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
-    """16 levels in each long: log2 of how many lines hold a token of the bin, by bin."""
-    bins = _lines(docs).select(F.explode(_tokens(F.col("line"))).alias("token")).select(F.col("token").bitwiseAND((1 << BIN_BITS) - 1).cast("int").alias("bin"))
-    level = F.least(F.lit(15), F.floor(F.log2("n"))).cast("long")
-    levels = bins.groupBy("bin").agg(F.count("*").alias("n")).select(F.shiftright("bin", 4).alias("word"), F.call_function("shiftleft", level, F.col("bin").bitwiseAND(15) * 4).alias("bits"))
-    out = [0] * (1 << BIN_BITS - 4)
-    for row in levels.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        out[row["word"]] = row["bits"]
+    """For each bin, quarter octaves of the number of its tokens in all texts."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    counted = docs.select(F.explode(_words(text)).alias("word")).groupBy(_bin(F.col("word")).alias("bin")).agg(F.count("*").alias("n"))
+    packed = counted.select(F.shiftright("bin", 9).alias("part"), (F.col("bin") * 256 + F.least(F.lit(255), F.floor(F.log2("n") * 4))).cast("int").alias("x"))
+    out = [0] * (1 << BIN_BITS)
+    for row in packed.groupBy("part").agg(F.collect_list("x").alias("all")).toLocalIterator():
+        for x in row["all"]:
+            out[x >> 8] = x & 255
     return out
 
 
@@ -55,110 +71,123 @@ def _needed(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def line_classes(docs: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
-    """key (hash of the token set), doc_id, text_hash and line_no of the first line with it, n, bits, prefix (the rarest tokens, in order)."""
-    packed = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
-
-    def ranked(x: Column) -> Column:
-        bin_ = x.bitwiseAND((1 << BIN_BITS) - 1)
-        level = F.call_function("shiftright", F.get(packed, F.shiftright(bin_, 4).cast("int")), (bin_.bitwiseAND(15) * 4).cast("int")).bitwiseAND(15)
-        return F.shiftleft(level, 59).bitwiseOR(x)
-
-    s = _lines(docs).select(*PLACE, F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0)
-    s = s.select(*PLACE, F.xxhash64("set").alias("key"), F.sort_array(F.transform("set", ranked)).alias("tokens"))
+def line_sets(docs: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
+    """row (unique), place, key (hash of the token set), n, sketch_1, sketch_2, prefix (the rarest tokens, in order) of every line with tokens."""
+    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
+    ranked = lambda x: F.shiftleft(F.get(level, _bin(x)), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 16))
+    s = _lines(docs).select(*PLACE, F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 20).bitwiseAND(63).cast("int"))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
-    prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
-    s = s.select(*PLACE, "key", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
-    first = s.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return first.select("key", *[F.col(f"first.{c}").alias(c) for c in PLACE], "n", "bits", "prefix")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    turned = lambda x: F.call_function("shiftleft", one, F.shiftright(x, 20).bitwiseAND(63).cast("int"))
+    half = lambda side: F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.when(F.shiftright(x, 30).bitwiseAND(1) == side, turned(x)).otherwise(none)))
+    # a set this small has no other within the similarity
+    alone = n + 1e-9 < similarity / (1 - similarity) if similarity < 1 else F.lit(True)
+    prefix = F.when(alone, F.array().cast("array<bigint>")).otherwise(F.slice("tokens", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")))
+    return s.select(F.monotonically_increasing_id().alias("row"), *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"), half(0).alias("sketch_1"), half(1).alias("sketch_2"), prefix.alias("prefix"))
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether line a stands before line b; null ids come first."""
-    x, y = F.col(f"{a}_doc_id"), F.col(f"{b}_doc_id")
-    s, t = F.col(f"{a}_text_hash"), F.col(f"{b}_text_hash")
-    return F.when(x.eqNullSafe(y), (s < t) | ((s == t) & (F.col(f"{a}_line_no") < F.col(f"{b}_line_no")))).otherwise(F.coalesce(x < y, x.isNull()))
+def first_lines(lines: DataFrame) -> DataFrame:
+    """ord, key, place and row of each class's first line, and how many lines it has; ord has the order of the places."""
+    first = lines.groupBy("key").agg(F.min(F.struct(*PLACE, "row")).alias("first"), F.count("*").alias("copies"))
+    out = first.select("key", *[F.col(f"first.{c}").alias(c) for c in (*PLACE, "row")], "copies")
+    return out.orderBy(F.asc_nulls_first("doc_id"), "text_hash", "line_no", "row").withColumn("ord", F.monotonically_increasing_id())
 
 
-def _may_be_similar(a: str, b: str, t: float, placed: bool) -> Column:
+def _may_be_similar(a: str, b: str, t: float) -> Column:
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    needed = _needed(na, nb, t)
-    out = (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (F.bit_count(F.col(f"{a}_bits").bitwiseXOR(F.col(f"{b}_bits"))) <= na + nb - 2 * needed)
-    return out & (F.least(na - F.col(f"{a}_place"), nb - F.col(f"{b}_place")) + 1 >= needed) if placed else out
+    apart = F.bit_count(F.col(f"{a}_sketch_1").bitwiseXOR(F.col(f"{b}_sketch_1"))) + F.bit_count(F.col(f"{a}_sketch_2").bitwiseXOR(F.col(f"{b}_sketch_2")))
+    return (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (apart <= na + nb - 2 * _needed(na, nb, t))
 
 
-def token_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """key, tokens of the lines at the given places (key, doc_id, text_hash, line_no).
+def _apart(a: str, b: str) -> Column:
+    return (F.bit_count(F.col(f"{a}_sketch_1").bitwiseXOR(F.col(f"{b}_sketch_1"))) + F.bit_count(F.col(f"{a}_sketch_2").bitwiseXOR(F.col(f"{b}_sketch_2")))).cast("int")
 
-    Only lines whose hashed place is marked in a map of bounded size go through the join.
-    """
-    wanted = places.select(F.xxhash64(*PLACE).alias("mark"))
-    lines = only_marked(_lines(docs), F.xxhash64(*PLACE), wanted).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.sort_array(_tokens(F.col("line"))).alias("tokens"))
-    found = places.join(lines, places.doc_id.eqNullSafe(lines.d) & (places.text_hash == lines.t) & (places.line_no == lines.l))
-    return found.where(F.xxhash64("tokens") == F.col("key")).select("key", "tokens").dropDuplicates(["key"])
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """right, match (left) and jaccard of the pairs (left, right) that are similar: the best match of each right."""
-    pairs = written(pairs.distinct())
-    used = pairs.select(F.col("left").alias("key")).unionByName(pairs.select(F.col("right").alias("key"))).distinct()
-    sets = written(token_sets(docs, classes.select("key", *PLACE).join(used, "key", "left_semi")))
-    a, b = (sets.select(F.col("key").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in ("left", "right"))
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    union = F.size("left_tokens") + F.size("right_tokens") - shared
-    both = pairs.join(a, "left").join(b, "right").select("left", "right", (shared / union).alias("jaccard")).where(F.col("jaccard") >= similarity - 1e-9)
-    return both.groupBy("right").agg(F.max_by("left", F.struct("jaccard", "left")).alias("match"), F.max("jaccard").alias("jaccard"))
-
-
-def anchored(classes: DataFrame, similarity: float, orders: int = 3, anchors: int = 3) -> DataFrame:
-    """Pairs of each class with the first classes that share its least prefix token under some hash orders: few, in
-    proportion to the classes, and enough to find a match for nearly every member of a large group of near copies."""
-    tokens = F.array_distinct(F.array(*[F.array_min(F.transform("prefix", lambda x: F.struct(F.xxhash64(x, F.lit(o)).alias("h"), x.alias("x"))))["x"] for o in range(orders)]))
-    columns = ("key", *PLACE, "n", "bits")
-    index = classes.where(F.size("prefix") > 0).select(*columns, F.explode(tokens).alias("token"))
-    w = Window.partitionBy("token").orderBy(F.asc_nulls_first("doc_id"), "text_hash", "line_no", "key")
-    for k in range(1, anchors + 1):
-        nth = F.nth_value(F.struct(*columns), k).over(w)
-        index = index.withColumn(f"anchor{k}", nth)
-    each = F.explode(F.array_compact(F.array(*[F.col(f"anchor{k}") for k in range(1, anchors + 1)]))).alias("a")
-    out = index.select(each, *columns).select(*[F.col("a")[c].alias(f"a_{c}") for c in columns], *[F.col(c).alias(f"b_{c}") for c in columns])
-    return out.where(_before("a", "b") & _may_be_similar("a", "b", similarity, False)).select(F.col("a_key").alias("left"), F.col("b_key").alias("right"))
+
+FACTS = ("n", "sketch_1", "sketch_2")
+
+
+def crowded(classes: DataFrame, similarity: float, least: int = CROWD) -> DataFrame:
+    """left, right, apart: classes with the first class that shares a min-hash of the prefix, where at least `least` do."""
+    spread = lambda bits: F.transform("prefix", lambda x: F.call_function("shiftleft", x, F.lit(bits)))
+    low, high = spread(16), spread(36)
+    hashes = F.array(F.array_min(low), F.array_max(low), F.array_min(high))
+    seen = classes.where(F.size("prefix") > 0).select("ord", *FACTS, F.explode(F.array_distinct(hashes)).alias("hash"))
+    bin_ = F.xxhash64("hash").bitwiseAND((1 << CROWD_BITS) - 1).cast("int")
+    # bins first: most of the classes share their min-hashes with few others and need no shuffle
+    bins = seen.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("bin").alias("mark"))
+    among = only_marked(seen, bin_, bins, bits=CROWD_BITS)
+    first = among.groupBy("hash").agg(F.min("ord").alias("left"), F.count("*").alias("n")).where(F.col("n") >= least).select("hash", "left")
+    pairs = among.join(first, "hash").where(F.col("left") < F.col("ord")).select("left", *[F.col(c).alias(f"b_{c}") for c in ("ord", *FACTS)])
+    facts = classes.select(*[F.col(c).alias(f"a_{c}") for c in ("ord", *FACTS)])
+    # few classes are first: a map of them spares the others the join
+    met = pairs.join(only_marked(facts, F.col("a_ord"), first.select(F.col("left").alias("mark"))), F.col("left") == F.col("a_ord"))
+    return met.where(_may_be_similar("a", "b", similarity)).select("left", F.col("b_ord").alias("right"), _apart("a", "b").alias("apart")).distinct()
 
 
 def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """left, right: classes (left first) whose prefixes meet and that pass the filters, for all rights not yet `gone`."""
-    packed = F.col("n").cast("long") * (1 << 31) + F.when(F.col("gone"), 1 << 30).otherwise(0)
-    index = classes.where(F.size("prefix") > 0).select("key", *PLACE, "bits", packed.alias("packed"), F.posexplode("prefix").alias("place", "token"))
-    index = index.select("token", "key", *PLACE, "bits", (F.col("packed") + F.col("place")).alias("packed"))
-    sides = []
-    for x in "ab":
-        sides.append(index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("key", *PLACE, "bits", "packed")]))
-    joined = sides[0].join(sides[1], "token")
-    part = lambda x: {f"{x}_n": F.shiftright(f"{x}_packed", 31), f"{x}_place": F.col(f"{x}_packed").bitwiseAND((1 << 30) - 1) + 1}
+    """left, right, apart: classes (left first) whose prefixes meet and that pass the filters, for all rights not yet `settled`."""
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.when(F.col("settled"), 1).otherwise(0)
+    index = classes.where(F.size("prefix") > 0).select("ord", "sketch_1", "sketch_2", packed.alias("packed"), F.posexplode("prefix").alias("place", "token"))
+    index = index.select("token", "ord", (F.col("packed") + F.col("place") * 2).alias("packed"), "sketch_1", "sketch_2")
+    a, b = (index.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("ord", "packed", "sketch_1", "sketch_2")]) for x in "ab")
+    part = lambda x: {f"{x}_n": F.shiftright(f"{x}_packed", 32), f"{x}_place": F.shiftright(f"{x}_packed", 1).bitwiseAND((1 << 31) - 1) + 1}
     # naming both sides keeps this in the join, so that both sides stay one and the same exchange
-    gone = F.shiftright("b_packed", 30).bitwiseAND(F.when(F.col("a_packed") >= 0, 1).otherwise(0)) == 1
-    return joined.withColumns(part("a") | part("b")).where(~gone & _before("a", "b") & _may_be_similar("a", "b", similarity, True)).select(F.col("a_key").alias("left"), F.col("b_key").alias("right"))
-
+    waits = F.col("b_packed").bitwiseAND(F.when(F.col("a_packed") >= 0, 1).otherwise(0)) == 0
+    met = a.join(b, "token").withColumns(part("a") | part("b"))
+    needed = _needed(F.col("a_n"), F.col("b_n"), similarity)
+    placed = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1 >= needed
+    met = met.where((F.col("a_ord") < F.col("b_ord")) & waits & placed & _may_be_similar("a", "b", similarity))
+    return met.select(F.col("a_ord").alias("left"), F.col("b_ord").alias("right"), _apart("a", "b").alias("apart")).distinct()
 
-def repeated_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key, doc_id, text_hash, line_no of every class's first line; match and jaccard where a class before it is similar."""
-    classes = written(line_classes(docs, similarity, rarity_levels(docs)))
-    first = written(verified(docs, classes, anchored(classes, similarity), similarity))
-    flagged = classes.join(first.select(F.col("right").alias("key"), F.lit(True).alias("found")), "key", "left").withColumn("gone", F.coalesce("found", F.lit(False))).drop("found")
-    rest = verified(docs, classes, candidates(flagged, similarity), similarity)
-    removed = written(first.unionByName(rest))
-    return classes.select("key", *PLACE).join(removed.withColumnRenamed("right", "key"), "key", "left")
 
+def token_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """ord, set (64-bit hashes of the tokens) of the lines at the given places (ord, doc_id, text_hash, line_no).
 
-def marked_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash, line_no, match (key of the class that it repeats), jaccard: the lines to remove."""
-    classes = repeated_classes(docs, similarity).select("key", F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_text"), F.col("line_no").alias("first_line"), "match", "jaccard")
-    lines = _lines(docs).select(*PLACE, F.sort_array(_tokens(F.col("line"))).alias("set")).where(F.size("set") > 0).select(*PLACE, F.xxhash64("set").alias("key"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("first_text")) & (F.col("line_no") == F.col("first_line")))
-    out = lines.join(classes, "key").where(later | F.col("match").isNotNull())
-    return out.select(*PLACE, F.coalesce("match", "key").alias("match"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    Only texts, and of them only lines, whose hash is marked in a map of bounded size are split and go through the join.
+    """
+    texts = only_marked(docs.select("doc_id", "text"), F.xxhash64(F.coalesce("text", F.lit(""))), places.select(F.col("text_hash").alias("mark")))
+    lines = only_marked(_lines(texts), F.xxhash64("text_hash", "line_no"), places.select(F.xxhash64("text_hash", "line_no").alias("mark")))
+    lines = lines.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"), F.array_distinct(F.transform(_words(F.col("line")), lambda x: F.xxhash64(x))).alias("set"))
+    found = places.join(lines, places.doc_id.eqNullSafe(lines.d) & (places.text_hash == lines.t) & (places.line_no == lines.l))
+    return found.select("ord", "set").groupBy("ord").agg(F.first("set").alias("set"))
+
+
+def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """left, right, jaccard of the pairs that are similar."""
+    a, b = (sets.select(F.col("ord").alias(x), F.col("set").alias(f"{x}_set")) for x in ("left", "right"))
+    shared = F.size(F.array_intersect("left_set", "right_set"))
+    jaccard = shared / (F.size("left_set") + F.size("right_set") - shared)
+    return pairs.join(a, "left").join(b, "right").select("left", "right", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity - 1e-9)
+
+
+def verified(scratch: Scratch, docs: DataFrame, firsts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """right, match (a left), jaccard: for each right that has a similar left."""
+    pairs = scratch.written(pairs)
+    used = pairs.select(F.col("left").alias("ord")).unionByName(pairs.select(F.col("right").alias("ord"))).distinct()
+    sets = scratch.written(token_sets(docs, firsts.select("ord", *PLACE).join(used, "ord", "left_semi")))
+    likeliest = pairs.groupBy("right").agg(F.min(F.struct("apart", "left")).alias("x")).select(F.col("x.left").alias("left"), "right")
+    found = scratch.written(_jaccard(likeliest, sets, similarity).select("right", F.col("left").alias("match"), "jaccard"))
+    others = pairs.select("left", "right").join(found, "right", "left_anti")
+    late = _jaccard(others, sets, similarity).groupBy("right").agg(F.max_by("left", F.struct("jaccard", "left")).alias("match"), F.max("jaccard").alias("jaccard"))
+    return scratch.written(found.unionByName(late.select("right", "match", "jaccard")))
+
+
+def marked_lines(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """doc_id, text_hash, line_no, match (number of a class before it that it repeats), jaccard: the lines to remove."""
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.written(line_sets(docs, similarity, rarity_levels(docs)))
+        firsts = scratch.written(first_lines(lines.select("row", "key", *PLACE)))
+        classes = scratch.written(lines.select("row", *FACTS, "prefix").join(firsts.select("row", "ord"), "row").drop("row"))
+        early = verified(scratch, docs, firsts, crowded(classes, similarity, crowd), similarity)
+        settled = classes.join(early.select(F.col("right").alias("ord"), F.lit(True).alias("found")), "ord", "left").withColumn("settled", F.col("found").isNotNull())
+        late = verified(scratch, docs, firsts, candidates(settled, similarity), similarity)
+        again = late.join(early, "right", "left_anti").unionByName(early)
+        first = [F.col(c).alias(f"first_{c}") for c in PLACE]
+        known = firsts.select("ord", "key", *first, "copies").join(again.withColumnRenamed("right", "ord"), "ord", "left").where((F.col("copies") > 1) | F.col("match").isNotNull())
+        known = scratch.written(known.select("key", F.coalesce("match", "ord").alias("match"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), F.col("match").isNotNull().alias("whole"), *[f"first_{c}" for c in PLACE]))
+        own = only_marked(lines.select("key", *PLACE), F.col("key"), known.select(F.col("key").alias("mark")))
+        later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("line_no") == F.col("first_line_no")))
+        return written(own.join(known, "key").where(later | F.col("whole")).select(*PLACE, "match", "jaccard"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -168,9 +197,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns as they came, their texts without the repeated lines; no document goes."""
-    gone = removed_lines(docs, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"), F.col("removed").alias("_removed"))
+    gone_id, gone_text, numbers = free_names(docs, "gone_id", "gone_text", "gone_lines")
+    gone = removed_lines(docs, similarity).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text), F.col("removed").alias(numbers))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone._gone_id) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone._gone_text), "left")
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(numbers), i)), "\n")
+    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(gone_text)), "left")
+    return joined.select(*[text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns])
