@@ -33,7 +33,7 @@ PLACE = ("doc_id", "text_hash", "line_no")
 #: Hashed bins of token counts; their levels are the one thing that goes through the driver.
 BIN_BITS = 18
 #: Classes that share a min-hash before they count as crowded, and bins in which they are counted first.
-CROWD = 32
+CROWD = 256
 CROWD_BITS = 18
 
 
@@ -75,15 +75,18 @@ def line_sets(docs: DataFrame, similarity: float, levels: list[int]) -> DataFram
     """row (unique), place, key (hash of the token set), n, sketch_1, sketch_2, prefix (the rarest tokens, in order) of every line with tokens."""
     level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
     ranked = lambda x: F.shiftleft(F.get(level, _bin(x)), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 16))
-    s = _lines(docs).select(*PLACE, F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked))).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked)))
+    # the row number keeps the filter from being pushed below the tokens, which would compute them twice
+    s = _lines(docs).select(F.monotonically_increasing_id().alias("row"), *PLACE, tokens.alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    turned = lambda x: F.call_function("shiftleft", one, F.shiftright(x, 20).bitwiseAND(63).cast("int"))
-    half = lambda side: F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.when(F.shiftright(x, 30).bitwiseAND(1) == side, turned(x)).otherwise(none)))
+    cell = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
+    every = F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", one, cell(x))))
+    half = F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 30).bitwiseAND(1), cell(x))))
     # a set this small has no other within the similarity
     alone = n + 1e-9 < similarity / (1 - similarity) if similarity < 1 else F.lit(True)
     prefix = F.when(alone, F.array().cast("array<bigint>")).otherwise(F.slice("tokens", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")))
-    return s.select(F.monotonically_increasing_id().alias("row"), *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"), half(0).alias("sketch_1"), half(1).alias("sketch_2"), prefix.alias("prefix"))
+    return s.select("row", *PLACE, F.xxhash64("tokens").alias("key"), n.alias("n"), every.bitwiseXOR(half).alias("sketch_1"), half.alias("sketch_2"), prefix.alias("prefix"))
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
