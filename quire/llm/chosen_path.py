@@ -4,7 +4,8 @@ Every text becomes the set of its five-word shingles and, for the paths, `T` min
 token that a path samples at coordinate i is the set's least shingle under hash i. In each of `runs` runs a set
 follows paths: a path hashes itself to one coordinate, with probability 1/4 to a second (1.25 = 1/similarity on
 average, so that a pair at the threshold keeps about one common path), and goes on with the value found there.
-Paths with at most `small` sets stop; larger ones split again, `depth` times at most. Sets that share a last path
+Paths with at most `small` sets stop; larger ones split again, `depth` times at most. Runs are repeated as often as a
+pair at the threshold needs to be found with the target recall (runs_needed). Sets that share a last path
 are compared by their min-hashes in units of bounded size; those that may be similar join a candidate group.
 
 Within the candidate groups all pairs are verified exactly, again in units of bounded size, by their whole shingle
@@ -15,22 +16,26 @@ Exact copies (equal words in order) are one text with a count, so copies cost no
 
 Defined cases: words are separated by white space and lower-cased; a text of one to four words has one shingle of
 them all; a text without words (null, empty) has no shingle, no link and a class of its own with its like ids; repeated
-rows are copies; ids may be null; columns besides doc_id and text are not read. Identity of texts is by 64-bit hash.
+rows are copies; ids may be null; columns besides doc_id and text are not read, and keep their names and values.
+Identity of texts is by 64-bit hash.
 """
 
 from __future__ import annotations
 
+from math import ceil, comb, log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, mix, only_marked, sequence_hash, shingles, text_batches, words, written
+from quire.llm.common import U64, free_names, mix, only_marked, own_columns, sequence_hash, shingles, text_batches, words, written
 
 SIMILARITY = 0.8
 SHINGLE = 5
 T = 64
-RUNS = 8
+#: The share of pairs at the threshold that the runs have to find.
+RECALL = 0.999
 SMALL = 256
 #: Texts in a part of a large bucket or group; two parts at most meet in a task.
 PART = 1024
@@ -74,7 +79,7 @@ def _next(path, sig):
     return F.when(F.pmod(F.xxhash64(path, F.lit(7)), F.lit(4)) == 0, F.array_distinct(F.array(step(0), step(1)))).otherwise(F.array(step(0)))
 
 
-def leaf_buckets(nodes: DataFrame, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def leaf_buckets(nodes: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """path, node, size: the last paths that more than one text follows."""
     paths = nodes.select("node", "sig", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r))).alias("path"))
     done = None
@@ -223,11 +228,30 @@ def components(links: DataFrame) -> DataFrame:
             return root
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """For each row: doc_id, copy_id (least id of its exact copies), class_id (least id of all texts that links connect),
-    n_links (different texts with a Jaccard similarity of at least `similarity`), n_copies (rows with its words)."""
+def runs_needed(similarity: float, recall: float = RECALL, depth: int = DEPTH, coordinates: int = T, agree: int = AGREE) -> int:
+    """How many runs a pair at the threshold needs to be found with this probability.
+
+    In a run, it shares a last path with the probability that the branching process of its common paths lives for `depth`
+    steps: a path has one child or, one time in four, two, and each is common with the probability `similarity`. Pairs also
+    have to agree in `agree` of the min-hashes, which all runs share; that loss is no run's to mend.
+    """
+    lives = 1.0
+    for _ in range(depth):
+        one = similarity * lives
+        lives = 0.75 * one + 0.25 * (1 - (1 - one) ** 2)
+    passes = sum(comb(coordinates, k) * similarity**k * (1 - similarity) ** (coordinates - k) for k in range(agree, coordinates + 1))
+    missed = 1 - recall / passes
+    if missed <= 0:
+        raise ValueError(f"the min-hashes alone find only {passes:.5f} of the pairs at {similarity}")
+    return max(1, ceil(log(missed) / log(1 - lives))) if lives < 1 else 1
+
+
+def _classified(docs: DataFrame, similarity: float, runs: int | None, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """signed (doc_id, text_hash, node of each row) and known (node, copy_id, n_copies, n_links, class_id, and the place of the class's first row)."""
+    runs = runs or runs_needed(similarity, depth=depth)
     signed = written(signatures(docs))
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
     buckets = in_units(leaf_buckets(nodes, runs, small, depth), "path", "size", PART)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = buckets.select("unit", "node").join(nodes.select("node", "sig"), "node").repartition(parts, "unit").sortWithinPartitions("unit")
@@ -243,25 +267,40 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int =
     checked = written(units.mapInArrow(_verify(similarity), "node long, label long, links long"))
     classes = components(checked)
     counts = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    linked = classes.join(counts, "node").join(nodes.select("node", "copy_id"), "node")
-    roots = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = nodes.select("node", "copy_id", "n_copies").join(linked.select("node", "n_links", "root").join(roots, "root").drop("root"), "node", "left")
-    out = signed.select("doc_id", "node").join(known, "node", "left")
+    linked = classes.join(counts, "node").join(nodes.select("node", "copy_id", "first"), "node")
+    roots = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("first").alias("class_first"))
+    of_class = linked.select("node", "n_links", "root").join(roots, "root").drop("root")
+    known = nodes.select("node", "copy_id", "n_copies", "first").join(of_class, "node", "left")
+    return signed, known.select("node", "copy_id", "n_copies", "n_links", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("class_first", "first").alias("first"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int | None = None, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """For each row: doc_id, copy_id (least id of its exact copies), class_id (least id of all texts that links connect),
+    n_links (different texts with a Jaccard similarity of at least `similarity`), n_copies (rows with its words)."""
+    signed, known = _classified(docs, similarity, runs, small, depth)
+    out = signed.select("doc_id", "node").join(known.drop("first"), "node", "left")
     return out.select(
-        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),
+        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents of which no class member has a smaller id, all columns as they came; of rows with one id, one stays."""
-    groups = similar_groups(docs, similarity)
-    away = groups.where("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(away, docs.doc_id == away.gone_id, "left_anti")
-    again = groups.where("doc_id = class_id and n_copies > 1").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
-    # rows that repeat one id: number them within that id
-    once = kept.join(again, kept.doc_id == again.twice_id, "left")
-    alone = once.where("twice_id is null").select(*[once[c] for c in docs.columns])
-    place = Window.partitionBy("twice_id").orderBy(F.xxhash64("text"), F.col("text"))
-    repeated = once.where("twice_id is not null").withColumn("_place", F.row_number().over(place)).where("_place = 1").select(*docs.columns)
-    return alone.unionByName(repeated)
+    """One row of each class, all columns as they came: that with the least id (null ids last), then the least hash of its text.
+
+    Rows are told apart by id and text together, so that different texts with one id, or without, are each kept or left by
+    their own class. Of rows that agree in both one stays. Rows without words are in no class and all stay.
+    """
+    signed, known = _classified(docs, similarity, None, SMALL, DEPTH)
+    places = signed.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    placed = places.join(known.select("node", "first"), "node").select("doc_id", "text_hash", "n", stays.alias("stays"))
+    gone_id, gone_text, state = free_names(docs, "gone_id", "gone_text", "state")
+    # what changes: places that go, and places of several rows of which one stays
+    touched = written(placed.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text), F.col("stays").alias(state)))
+    key, own = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), own_columns(docs)
+    marks = touched.select(F.xxhash64(gone_id, gone_text).alias("mark"))
+    met = only_marked(docs, key, marks).join(touched, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_text)), "left")
+    whole = F.struct(*own)
+    once = met.where(F.col(state)).groupBy(gone_id, gone_text).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row")).select("row.*")
+    return only_marked(docs, key, marks, inside=False).unionByName(met.where(F.col(state).isNull()).select(*own)).unionByName(once)

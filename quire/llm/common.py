@@ -257,12 +257,24 @@ def only_marked(df: DataFrame, key, wanted: DataFrame, inside: bool = True, bits
 
     The executors get one map of 2^`bits` bits (half a megabyte), however many keys there are.
     """
+    bit, part, marks = free_names(df, "_bit", "_part", "_marks")
     place = lambda c: F.pmod(c, F.lit(1 << bits))
     m = place(F.col("mark"))
-    maps = wanted.select(m.alias("m")).groupBy(F.shiftright("m", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias("_map"))
-    at = F.col("_m").bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maps = wanted.select(m.alias("m")).groupBy(F.shiftright("m", 15).alias(part)).agg(F.bitmap_construct_agg(F.col("m").bitwiseAND(32767)).alias(marks))
+    at = F.col(bit).bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring(marks, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    df = df.withColumn("_m", place(key))
-    met = df.join(F.broadcast(maps), F.shiftright(df["_m"], 15) == maps["_part"], "inner" if inside else "left")
-    return met.where(hit if inside else ~F.coalesce(hit, F.lit(False))).drop("_m", "_part", "_map")
+    met = df.withColumn(bit, place(key)).join(F.broadcast(maps), F.shiftright(bit, 15) == F.col(part), "inner" if inside else "left")
+    return met.where(hit if inside else ~F.coalesce(hit, F.lit(False))).drop(bit, part, marks)
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of df by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def filtered_by_text(df: DataFrame, keep) -> DataFrame:
+    """The rows of df that keep(batches) lets pass, in Arrow batches with the column `text`; columns of any name stay as they are."""
+    plain = [c if c == "text" else f"_{n}" for n, c in enumerate(df.columns)]
+    renamed = df.toDF(*plain)
+    return renamed.mapInArrow(keep, renamed.schema).toDF(*df.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, mix, text_batches, words
+from quire.llm.common import U64, filtered_by_text, mix, text_batches, words
 
 LEAST = 5
 SHARE = 0.6
@@ -173,7 +173,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shar
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the contaminated ones, all columns as they came: the text decides, in one pass for each block."""
-    schema = docs.schema
     out = docs
     for ids, texts in benchmark_blocks(benchmark, block_bytes):
         index = SeedIndex(ids, texts, least)
@@ -191,5 +190,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, sha
                             break
                 yield batch.filter(pa.array(~bad))
 
-        out = out.mapInArrow(keep, schema)
+        out = filtered_by_text(out, keep)
     return out

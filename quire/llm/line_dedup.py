@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, free_names, only_marked, written
+from quire.llm.common import Scratch, free_names, only_marked, own_columns, written
 
 SIMILARITY = 0.8
 #: What tells a line from all others: rows that agree in it are one.
@@ -206,4 +206,4 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(numbers), i)), "\n")
     text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(gone_text)), "left")
-    return joined.select(*[text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns])
+    return joined.select(*[text.alias(c) if c == "text" else own for c, own in zip(docs.columns, own_columns(docs), strict=True)])

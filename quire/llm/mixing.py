@@ -10,7 +10,8 @@ the multivariate hypergeometric distribution, source after source, by inversion
 shard has its own exact quota of each source's blocks. Shard k draws the source's blocks that come after those of
 the shards before it: disjoint, and in permuted order. Within a shard, `place` is the local shuffle's sort key.
 
-All draws come from hashes of the seed, so reruns agree.
+All draws come from hashes of the seed, so reruns agree. Documents are placed by a hash of id and text, so that rows that share
+an id, or have none, spread over the blocks.
 
 Defined cases: null text: size 0; a null source is a source of its own, the last; documents of size 0 take nothing;
 repeated rows count each, and take the same words each as far as the target goes; an empty table gives no row; an empty source (all sizes 0) has target 0.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import number_of_words
+from quire.llm.common import free_names, number_of_words, own_columns, written
 
 #: Weights by code-point order of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -128,7 +129,8 @@ def sized(docs: DataFrame, *carried: Column) -> DataFrame:
     """
     doc = F.col("doc_id").cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    return docs.select(doc.alias("doc_id"), source.alias("source_key"), number_of_words(F.col("text")).alias("size"), F.md5(F.coalesce(doc.cast("string"), F.lit("null"))).alias("key"), *carried)
+    key = F.md5(F.concat(F.coalesce(doc.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.select(doc.alias("doc_id"), source.alias("source_key"), number_of_words(F.col("text")).alias("size"), key.alias("key"), *carried)
 
 
 def mixed(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -163,22 +165,30 @@ def mixed(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row for each draw of a document, with the columns of docs and mix_shard, mix_round, mix_words
-    and mix_place; a shard's rows in order of mix_place are shuffled. A last document counts only its first mix_words words."""
-    d = mixed(sized(docs, F.struct(*docs.columns).alias("row")), **how).select("row", F.explode("draws").alias("draw"))
-    new = {"mix_shard": "shard", "mix_round": "round", "mix_words": "words", "mix_place": "place"}
-    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col("draw")[x].alias(c) for c, x in new.items()])
+    and mix_place; a shard's rows in order of mix_place are shuffled. A last document counts only its first mix_words words.
+    Where docs has columns of these names, the new ones get underscores in front."""
+    d = mixed(written(sized(docs, F.struct(*own_columns(docs)).alias("row"))), **how).select("row", F.explode("draws").alias("draw"))
+    names = free_names(docs, "mix_shard", "mix_round", "mix_words", "mix_place")
+    return d.select("row.*", *[F.col("draw")[x].alias(c) for c, x in zip(names, ("shard", "round", "words", "place"), strict=True)])
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted."""
     words = F.aggregate("draws", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return mixed(sized(docs), **how).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    return mixed(written(sized(docs)), **how).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+
+
+def shards(docs: DataFrame, **how) -> DataFrame:
+    """shard, source, documents (draws) and words of each: what the splitting tree deals to the output shards."""
+    d = mixed(written(sized(docs)), **how).select("source_key", F.explode("draws").alias("draw"))
+    source = F.when(F.col("source_key") != "", F.substring("source_key", 2, 1 << 30))
+    return d.groupBy(F.col("draw.shard").alias("shard"), source.alias("source")).agg(F.count("*").alias("documents"), F.sum("draw.words").alias("words"))
 
 
 #: DuckDB SQL for taken() with its default parameters: who takes how much follows from the permutation alone.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce('=' || source, '') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS h
+  SELECT doc_id, coalesce('=' || source, '') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 r AS (SELECT *, row_number() OVER (ORDER BY k = '', k) - 1 AS rank FROM s),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import only_marked, written
+from quire.llm.common import free_names, only_marked, own_columns, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -195,13 +195,13 @@ def found(docs: DataFrame, **how) -> DataFrame:
 def sanitised(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     """The documents, all columns as they came, with base spans replaced by [KIND] and disclosing terms generalised or removed."""
     _, extra = spans_of(docs, **how)
-    extra = extra.withColumnRenamed("text_hash", "_hash")
+    hash_, terms = free_names(docs, "text_hash", "extra")
     text = F.coalesce("text", F.lit(""))
-    d = docs.join(extra, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == extra["_hash"], "left")
+    d = docs.join(extra.select(F.col("text_hash").alias(hash_), F.col("extra").alias(terms)), F.xxhash64(text) == F.col(hash_), "left")
     cut = lambda x, tag: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end"), tag.alias("tag"))
     base = F.transform(base_spans(text), lambda x: cut(x, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
     general = lambda x: F.when(x["disclosure"] >= remove, F.lit("")).when(x["value"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]"))
-    more = F.coalesce(F.transform("extra", lambda x: cut(x, general(x))), F.array().cast("array<struct<start:bigint,no:int,end:bigint,tag:string>>"))
+    more = F.coalesce(F.transform(terms, lambda x: cut(x, general(x))), F.array().cast("array<struct<start:bigint,no:int,end:bigint,tag:string>>"))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s, x):
@@ -211,4 +211,4 @@ def sanitised(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
 
     pieces = F.aggregate(F.array_sort(F.concat(base, more)), state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
     new = F.when(F.col("text").isNull(), F.col("text")).otherwise(pieces)
-    return d.select(*[new.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return d.select(*[new.alias(c) if c == "text" else own for c, own in zip(docs.columns, own_columns(docs), strict=True)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, mix, text_batches, word_hash, words, written
+from quire.llm.common import U64, filtered_by_text, mix, text_batches, word_hash, words, written
 
 SAMPLE = 20_000
 #: Features that may reach the driver.
@@ -193,7 +193,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             above = model.above(batch.column("text"))
             yield batch.filter(pa.array(above[:, 0] < threshold)) if above.shape[1] else batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered_by_text(docs, keep)
 
 
 def top_words(model: Model, vocabulary: list[str]) -> dict[str, float]:

@@ -378,9 +378,135 @@ def test_line_dedup_shared_ids(spark):
         assert Counter(x for lines in out for x in lines if x) == Counter({"P": 1, "Q": 1, "R": 1, "S": 1, "T": 2})
 
 
+def test_line_dedup_other_similarity(spark):
+    """Below 0.8 small sets are compared too; crowded groups are settled first; both as by brute force."""
+    rng = random.Random(8)
+    rows = [(1, "a b"), (2, "a b c"), (3, "x y z"), (4, "x y")]
+    rows += [(10 + i, "\n".join(" ".join(rng.sample("the of and to in is it on".split(), rng.randrange(1, 7))) for _ in range(3))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for t, crowd in ((0.6, 256), (0.6, 2), (0.8, 2), (1.0, 256)):
+        got = {(r.doc_id, r.line_no) for r in line_dedup.marked_lines(d, t, crowd).collect()}
+        assert got == removed(rows, t)
+
+
 # --- the pipeline
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, extra string, _hash long, gone_id string, mix_shard int, `a.b` string, _bit long, state boolean, text_hash string"
+
+
+def clash_rows():
+    """Repeated ids with different texts, null ids, copies, repeated rows, empty texts, and columns with clashing names."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    own = [f"{prose(12)}\n{prose(9)}\n{prose(30)}" for _ in range(30)]
+    near = own[3].replace(own[3].split()[-1], "changed").replace("\n", " ")
+    texts = [*enumerate(own), (5, own[4]), (None, own[6]), (None, own[7]), (None, prose(20)), (7, prose(40)), (7, prose(8) + "\n" + own[9].split("\n")[0]), (60, own[3].replace("\n", " ")), (61, near)]
+    texts += [(62, None), (63, ""), (None, None), (62, None), (8, own[8]), (8, own[8]), (64, "the vile nasty thing " + prose(9)), (65, f"{prose(5)} vile {prose(5)}"), (66, prose(3) + " alpha beta gamma delta epsilon zeta eta theta " + prose(4))]
+    return [(i, t, None, [None, "s1", "s2"][n % 3], n, f"e{n}", n, "g", 5, f"dot{n}", 1, True, "h") for n, (i, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def clash(spark):
+    return spark.createDataFrame(clash_rows(), CLASH).cache()
+
+
+def kept_lines(rows):
+    """(id, text) to the text that stays, by brute force: a line goes if one before it, by (id, hash of the text, number), is similar."""
+    seen, out = [], {}
+    for i, h, t in sorted({(r[0], h, r[1]) for r, h in rows}, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        stay = []
+        for line in (t or "").split("\n"):
+            s = frozenset(WORD.findall(line))
+            if not s or not any(len(s & x) >= 0.8 * len(s | x) - 1e-9 for x in seen):
+                stay.append(line)
+            if s:
+                seen.append(s)
+        out[i, t] = None if t is None else "\n".join(stay)
+    return out
+
+
+def one_each(rows):
+    """Numbers (n_chars) of groups of rows of which one stays, and of the rows that stay, by brute force; rows: (id, text, hash, number)."""
+    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in {tuple(WORD.findall((t or "").lower())) for _, t, _, _ in rows} if w}
+    group = {w: {w} for w in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and group[a] is not group[b]:
+            group[a] |= group[b]
+            for w in group[b]:
+                group[w] = group[a]
+    least, out = {}, []
+    for i, t, h, n in rows:
+        w = tuple(WORD.findall((t or "").lower()))
+        if not w:
+            out.append({n})
+        else:
+            least.setdefault(id(group[w]), []).append(((i is None, i or 0, h), n))
+    return out + [{n for k, n in x if k == min(x)[0]} for x in least.values()]
+
+
+def test_row_identity(spark, clash):
+    """No row or line is lost that brute force keeps, whatever ids and columns are."""
+    rows = [(tuple(r), r.th) for r in clash.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    out = line_dedup.without_repeated_lines(clash)
+    expected = kept_lines(rows)
+    assert out.columns == clash.columns
+    assert Counter(tuple(r) for r in out.collect()) == Counter((r[0], expected[r[0], r[1]], *r[2:13]) for r, _ in rows)
+    hashes = {r.n_chars: r.th for r in clash.select("n_chars", F.xxhash64("text").alias("th")).collect()}
+    groups = one_each([(r[0], r[1], hashes[r[4]], r[4]) for r, _ in rows])
+    kept = chosen_path.one_of_each(clash)
+    stayed = [r.n_chars for r in kept.collect()]
+    assert kept.columns == clash.columns and len(stayed) == len(groups) and all(len(g & set(stayed)) == 1 for g in groups)
+    clean = pii.sanitised(clash)
+    assert clean.columns == clash.columns and clean.count() == len(rows) and {r.extra for r in clean.collect()} == {r[5] for r, _ in rows}
+    mix = mixing.mixture(clash)
+    assert mix.columns == [*clash.columns, "_mix_shard", "mix_round", "mix_words", "mix_place"] and {r.mix_shard for r in mix.collect()} == {5}
+    dealt = mixing.shards(clash).toPandas()
+    assert dealt.words.sum() == mix.agg(F.sum("mix_words")).first()[0] and dealt.documents.sum() == mix.count()
+
+
+def test_pipeline_stages(spark, clash, tmp_path):
+    """Each stage on its own input, against brute force; the input has the hard cases of clash_rows."""
+    import corpus_pipeline as p
+
+    rng = random.Random(2)
+    train = [(1000 + i, " ".join([f"t{rng.randrange(300)}" for _ in range(20)] + ["vile"] * (i % 2))) for i in range(200)]
+    docs = clash.unionByName(spark.createDataFrame(train, "doc_id long, text string"), allowMissingColumns=True)
+    spark.createDataFrame([(i, i % 2) for i, _ in train] + [(None, 1), (3, None)], "doc_id long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "Alpha beta, gamma delta epsilon zeta eta theta"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    number = lambda d: Counter(r.n_chars for r in d.where("n_chars is not null").collect())
+    for name, stage in p.STAGES:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out = stage(spark, docs, str(tmp_path)).cache()
+        rows = docs.where("n_chars is not null").collect()
+        if name == "toxicity":
+            assert number(out) == Counter(r.n_chars for r in rows if "vile" not in (r.text or "").split())
+            assert {r.doc_id for r in out.where("doc_id >= 1000").collect()} == {i for i, t in train if "vile" not in t.split()}
+        elif name == "line_dedup":
+            every = [((r.doc_id, r.text), r.th) for r in docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+            expected = kept_lines(every)
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, expected[i, t]) for (i, t), _ in every)
+        elif name == "near_copies":
+            groups = one_each([(r.doc_id, r.text, r.th, k) for k, r in enumerate(docs.withColumn("th", F.xxhash64("text")).collect())])
+            assert out.count() == len(groups)
+        elif name == "decontamination":
+            gone = [r for r in rows if sum(t[0] for t in tiled(WORD.findall((r.text or "").lower()), "alpha beta gamma delta epsilon zeta eta theta".split(), 5)) >= 0.6 * 8]
+            assert len(gone) == 1 and number(out) == number(docs) - Counter(r.n_chars for r in gone)
+        else:
+            words_of = lambda t: len(WORD.findall(t or ""))
+            drawn = Counter()
+            for r in out.collect():
+                drawn[r.doc_id, r.text] += r.mix_words if "_mix_shard" not in out.columns else r["mix_words"]
+            taken = Counter()
+            for r, t in zip(*(x.collect() for x in (docs.orderBy("doc_id", "text"), mixing.taken(docs).orderBy("doc_id"))), strict=True):
+                taken[t.doc_id] += t.taken
+            assert sum(drawn.values()) == sum(taken.values()) and all(n <= 2 * words_of(t) * sum(r.doc_id == i and r.text == t for r in docs.collect()) for (i, t), n in drawn.items())
+        if name != "mixing":
+            assert out.columns == docs.columns
+        docs = out
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
