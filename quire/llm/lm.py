@@ -6,9 +6,9 @@ the class, for its members. The commonest words and the text's end are dealt to
 whose members are bins of word endings. Inside a bin a word has its add-one share of the training counts, so that
 every word, seen or not, has a probability and they add up to 1.
 
-Training: biases are the training counts; then each round sends the weights to all partitions, every partition runs
-its minibatches of gradient steps over its part of that round's training texts, and the weights' changes are averaged
-over partitions. The rounds together cover all training texts. Scoring reads every whole text once, in numpy batches.
+Training: biases are the training counts; then each round sends the weights to all parts, every part runs
+its minibatches of gradient steps over that round's training texts in it, and the weights' changes are averaged
+over the parts that have the feature. The rounds together cover all training texts. Rows of weights and parts grow with the training tokens. Scoring reads every whole text once, in numpy batches.
 Counts of the commonest `KNOWN` words go to the executors; the other words of a text meet their exact counts in a join.
 
 Defined cases: null and empty texts are one end token; null ids are training rows; repeated rows count and are scored
@@ -29,7 +29,11 @@ FOLDS, FOLD = 7, 2
 KNOWN = 1 << 19
 CLASSES, MEMBERS = 32, 32
 HEAD = CLASSES * MEMBERS
-ROWS_1, ROWS_2 = 1 << 13, 1 << 14
+#: Hashed rows of weights: what the n-gram, skip and pair features of the corpus are gathered in. They grow with the
+#: root of the training tokens, as the distinct pairs in a row would otherwise grow without end; at most so many (105 MB).
+LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 18
+#: Training tokens of a part: what one task learns from, one after the other, before the parts' changes are averaged.
+PART_TOKENS = 1 << 21
 ROUNDS = 2
 RATE = 1.0
 DAMP = 20.0
@@ -172,28 +176,33 @@ def gathered_counts(counts: DataFrame, most: int = KNOWN) -> Counts:
     return Counts(total, distinct, column("token").view(U64), column("c"), column("bin"), sums)
 
 
+def rows_for(tokens: int) -> int:
+    """Rows of the class weights for so many training tokens, a power of two; the member weights have twice as many."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (4 * int(tokens**0.5) + 1).bit_length() - 1))
+
+
 class Weights:
-    def __init__(self, first: np.ndarray | None = None, second: np.ndarray | None = None):
-        self.first = np.zeros((ROWS_1, CLASSES + 1), np.float32) if first is None else first
-        self.second = np.zeros((ROWS_2, MEMBERS), np.float32) if second is None else second
+    """first: weights of a feature's row for the classes; second: of a feature and class for the members; in one flat array."""
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.first.ravel(), self.second.ravel()])
+    def __init__(self, flat: np.ndarray):
+        self.rows = len(flat) // (CLASSES + 1 + 2 * MEMBERS)
+        self.flat = flat
+        n = self.rows * (CLASSES + 1)
+        self.first, self.second = flat[:n].reshape(self.rows, -1), flat[n:].reshape(2 * self.rows, -1)
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Weights:
-        n = ROWS_1 * (CLASSES + 1)
-        return cls(flat[:n].reshape(ROWS_1, -1).copy(), flat[n:].reshape(ROWS_2, -1).copy())
-
+    def zero(cls, rows: int) -> Weights:
+        return cls(np.zeros(rows * (CLASSES + 1 + 2 * MEMBERS), np.float32))
 
-def _rows(t: Tokens, part: slice, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the class weights and of the member weights for the three features."""
-    a, b = t.before[part], t.skipped[part]
-    codes = (mix(a * _K[0]), mix(b * _K[1]), mix(a * _K[2] + b * _K[3]))
-    first = [(c >> U64(51)).astype(np.uint16) for c in codes]
-    salt = group.astype(U64) * _K[4]
-    second = [((c ^ salt) * _K[5] >> U64(50)).astype(np.uint16) for c in codes]
-    return first, second
+    def rows_of(self, t: Tokens, part: slice, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Rows of the class weights and of the member weights for the three features."""
+        a, b = t.before[part], t.skipped[part]
+        bits = self.rows.bit_length() - 1
+        codes = (mix(a * _K[0]), mix(b * _K[1]), mix(a * _K[2] + b * _K[3]))
+        first = [(c >> U64(64 - bits)).astype(np.uint32) for c in codes]
+        salt = group.astype(U64) * _K[4]
+        second = [((c ^ salt) * _K[5] >> U64(63 - bits)).astype(np.uint32) for c in codes]
+        return first, second
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -207,7 +216,7 @@ def log_probabilities(c: Counts, w: Weights, t: Tokens, group: np.ndarray, membe
     for at in range(0, len(t), BATCH):
         part = slice(at, min(len(t), at + BATCH))
         g, m = group[part], member[part]
-        first, second = _rows(t, part, g)
+        first, second = w.rows_of(t, part, g)
         p1 = _log_softmax(c.bias_1 + w.first[first[0]] + w.first[first[1]] + w.first[first[2]])
         p2 = _log_softmax(c.bias_2[g] + w.second[second[0]] + w.second[second[1]] + w.second[second[2]])
         i = np.arange(len(g))
@@ -229,7 +238,7 @@ def train_on(c: Counts, w: Weights, t: Tokens) -> None:
     for at in range(0, len(t), BATCH):
         part = slice(at, min(len(t), at + BATCH))
         g, m = group[part], member[part]
-        first, second = _rows(t, part, g)
+        first, second = w.rows_of(t, part, g)
         i = np.arange(len(g))
         d1 = -np.exp(_log_softmax(c.bias_1 + w.first[first[0]] + w.first[first[1]] + w.first[first[2]]))
         d2 = -np.exp(_log_softmax(c.bias_2[g] + w.second[second[0]] + w.second[second[1]] + w.second[second[2]]))
@@ -239,41 +248,59 @@ def train_on(c: Counts, w: Weights, t: Tokens) -> None:
         _step(w.second, second, d2)
 
 
-def trained(training: DataFrame, counts, rounds: int = ROUNDS) -> Weights:
-    """counts: a Spark broadcast of Counts. Each round takes its share of the training texts, all rounds take all."""
+def _only_changed(change: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of what is not 0: rare features leave most of a part's rows as they were."""
+    at = np.flatnonzero(change).astype(np.int32)
+    return at.tobytes(), change[at].tobytes()
+
+
+def trained(training: DataFrame, counts, rounds: int = ROUNDS, part_tokens: int = PART_TOKENS) -> Weights:
+    """counts: a Spark broadcast of Counts. Each round takes its share of the training texts, all rounds take all.
+
+    The rows of weights and the number of parts follow the training tokens, not the cluster. The parts' changes are added up block by
+    block on the executors, each weight by those parts that changed it; the driver gets one sum for each weight.
+    """
     sc = training.sparkSession.sparkContext
-    width = -(-len(Weights().flat()) // BLOCKS)
-    weights = Weights()
+    total = counts.value.total
+    weights = Weights.zero(rows_for(total))
+    width = -(-len(weights.flat) // BLOCKS)
+    parts = max(1, -(-total // (rounds * part_tokens)))
     for n in range(rounds):
-        sent = sc.broadcast(weights.flat())
+        sent = sc.broadcast(weights.flat)
 
         def learn(batches, sent=sent):
-            w, tokens = Weights.of(sent.value), 0
+            w, tokens = Weights(sent.value.copy()), 0
             for batch in text_batches(batches, most=1 << 20):
                 t = Tokens(batch.column("text"))
                 train_on(counts.value, w, t)
                 tokens += len(t)
-            change = w.flat() - sent.value
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([change[k * width : (k + 1) * width].tobytes() for k in range(BLOCKS)], pa.binary()), pa.array([1] * BLOCKS, pa.int64())], ["block", "change", "n"])
+                change = w.flat - sent.value
+                for k in range(BLOCKS):
+                    at, x = _only_changed(change[k * width : (k + 1) * width])
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": pa.array([at], pa.binary()), "change": pa.array([x], pa.binary())})
 
         def add(batches):
-            sums: dict[int, list] = {}
+            sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                for k, x, n in zip(batch.column("block").to_pylist(), batch.column("change").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    old = sums.setdefault(k, [np.zeros(len(x) // 4), 0])
-                    old[0] += np.frombuffer(x, np.float32)
-                    old[1] += n
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["block", "change", "n"])
-
-        schema = "block int, change binary, n long"
+                for k, at, x in zip(batch.column("block").to_pylist(), batch.column("at").to_pylist(), batch.column("change").to_pylist(), strict=True):
+                    if k not in sums:
+                        sums[k] = np.zeros(width), np.zeros(width, np.int32)
+                    place = np.frombuffer(at, np.int32)
+                    sums[k][0][place] += np.frombuffer(x, np.float32)
+                    sums[k][1][place] += 1
+            for k, (x, times) in sums.items():
+                # the mean over the parts that have the feature, as far as it is not one part's alone
+                at, mean = _only_changed((x / np.maximum(times, 1)).astype(np.float32))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": pa.array([at], pa.binary()), "change": pa.array([mean], pa.binary())})
+
+        schema = "block int, at binary, change binary"
         share = training.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == n).select("text")
-        changes = share.coalesce(max(1, 2 * sc.defaultParallelism)).mapInArrow(learn, schema)
-        flat = weights.flat()
-        for row in changes.repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
-            flat[row["block"] * width : (row["block"] + 1) * width] += np.frombuffer(row["change"], np.float32) / row["n"]
-        weights = Weights.of(flat)
+        changes = share.coalesce(parts).mapInArrow(learn, schema)
+        flat = weights.flat.copy()
+        for row in changes.repartition(BLOCKS, "block").mapInArrow(add, schema).toLocalIterator():
+            flat[row["block"] * width + np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["change"], np.float32)
+        weights = Weights(flat)
         sent.unpersist()
     return weights
 
@@ -286,11 +313,11 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFra
     counted = written(token_counts(training))
     gathered = gathered_counts(counted, known)
     counts = sc.broadcast(gathered)
-    weights = sc.broadcast(trained(training, counts, rounds))
+    weights = sc.broadcast(trained(training, counts, rounds).flat)
     total, share = gathered.total, float(np.log10(gathered.total + gathered.distinct + 1))
 
     def score(batches):
-        c, w = counts.value, weights.value
+        c, w = counts.value, Weights(weights.value)
         log_bin = np.log10(c.bin_mass)
         for batch in text_batches(batches, most=1 << 20):
             t = Tokens(batch.column("text"))

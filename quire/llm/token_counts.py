@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import text_batches, words
+from quire.llm.common import text_batches, words, written
 
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -128,7 +128,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     n_docs, docs_longer and tokens_longer (of documents with more tokens), docs_within (at most so many),
     truncated_tokens (all documents cut to this length), lost_tokens, quantile (docs_within over all documents).
     """
-    h = lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    h = written(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))  # once: encoding is what costs
     h = h.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -308,6 +308,40 @@ def test_lm_probabilities_add_up():
         assert abs((c.counts[tail & (bins[np.argsort(keys)] == b)] + 1).sum() + 1 - c.bin_mass[b]) < 1e-6
 
 
+def test_lm_score_against_brute_force(spark):
+    """The model's score of every text is the sum of its tokens' log probabilities, each worked out by hand from counts and weights."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    d = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(1500)], k=60)) + " unseen%d" % i) for i in range(120)], "doc_id long, text string").repartition(1).cache()
+    training = d.where(~lm.held_out(F.col("doc_id")))
+    c = lm.gathered_counts(lm.token_counts(training).cache())
+    w = lm.trained(training, spark.sparkContext.broadcast(c))
+    assert w.rows == lm.LEAST_ROWS and np.abs(w.flat).max() > 0
+    soft = lambda x: np.exp(x.astype(float) - x.max()) / np.exp(x.astype(float) - x.max()).sum()
+    got = {r.doc_id: r.score for r in lm.scored(d).collect()}
+    for r in d.collect()[:30]:
+        t = lm.Tokens(pa.array([r.text]))
+        group, member = c.symbols(t, *c.look_up(t.hash))
+        first, second = w.rows_of(t, slice(0, len(t)), group)
+        score = 0.0
+        for i, (g, m) in enumerate(zip(group, member, strict=True)):
+            p1 = soft(c.bias_1 + sum(w.first[f[i]] for f in first))
+            p2 = soft(c.bias_2[g] + sum(w.second[f[i]] for f in second))
+            at = np.flatnonzero(c.keys == t.hash[i])
+            share = (c.counts[at[0]] + 1 if len(at) else 1) / c.bin_mass[m] if g == lm.CLASSES else 1
+            assert abs(p1.sum() - 1) < 1e-9 and abs(p2.sum() - 1) < 1e-9
+            score += math.log10(p1[g] * p2[m] * share)
+        assert abs(score - got[r.doc_id]) < 0.02
+    # the shares of a bin's words, and of one unseen word, add up to 1
+    tail = c.slot < 0
+    assert tail.sum() > 100 and lm.rows_for(10**9) > lm.rows_for(10**8) > lm.LEAST_ROWS and lm.rows_for(10**15) == lm.MOST_ROWS
+
+
+def test_lm_gains_on_held_out_texts(spark):
+    got = lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[1] > 0.05
+
+
 # --- 9
 
 
