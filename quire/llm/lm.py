@@ -29,15 +29,17 @@ FOLDS, FOLD = 7, 2
 KNOWN = 1 << 19
 CLASSES, MEMBERS = 32, 32
 HEAD = CLASSES * MEMBERS
-#: Hashed rows of weights: what the n-gram, skip and pair features of the corpus are gathered in. They grow with the
-#: root of the training tokens, as the distinct pairs in a row would otherwise grow without end; at most so many (105 MB).
-LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 18
+#: Hashed rows of weights: what the n-gram, skip and pair features of the corpus are gathered in. From 2^27 training tokens
+#: on they grow with their root, as the distinct pairs in a row would otherwise grow without end; at most so many (105 MB).
+LEAST_ROWS, MOST_ROWS, LEAST_TOKENS = 1 << 13, 1 << 18, 1 << 27
 #: Training tokens of a part: what one task learns from, one after the other, before the parts' changes are averaged.
 PART_TOKENS = 1 << 21
 ROUNDS = 2
 RATE = 1.0
 DAMP = 20.0
 BATCH = 1 << 14
+#: Tokens whose odds are worked out at a time: few enough for the processor's cache.
+SLICE = 1 << 12
 BLOCKS = 32
 
 END = 0x1E5D0F7A3B9C2468
@@ -141,6 +143,8 @@ class Counts:
         self.bias_2[CLASSES] = np.log(self.bin_mass)
         sums = np.concatenate([mass.sum(1), [self.bin_mass.sum()]])
         self.bias_1 = np.where(sums > 0, np.log(np.maximum(sums, 1e-300)), -1e9).astype(np.float32)
+        self.bias_1 -= self.bias_1.max()
+        self.bias_2 -= self.bias_2.max(1, keepdims=True)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into keys, and whether the token is there."""
@@ -178,7 +182,7 @@ def gathered_counts(counts: DataFrame, most: int = KNOWN) -> Counts:
 
 def rows_for(tokens: int) -> int:
     """Rows of the class weights for so many training tokens, a power of two; the member weights have twice as many."""
-    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (4 * int(tokens**0.5) + 1).bit_length() - 1))
+    return min(MOST_ROWS, LEAST_ROWS << max(0, (tokens // LEAST_TOKENS).bit_length()) // 2)
 
 
 class Weights:
@@ -199,28 +203,33 @@ class Weights:
         a, b = t.before[part], t.skipped[part]
         bits = self.rows.bit_length() - 1
         codes = (mix(a * _K[0]), mix(b * _K[1]), mix(a * _K[2] + b * _K[3]))
-        first = [(c >> U64(64 - bits)).astype(np.uint32) for c in codes]
+        short = [np.uint16 if b <= 16 else np.uint32 for b in (bits, bits + 1)]  # numpy sorts 16 bits much faster
+        first = [(c >> U64(64 - bits)).astype(short[0]) for c in codes]
         salt = group.astype(U64) * _K[4]
-        second = [((c ^ salt) * _K[5] >> U64(63 - bits)).astype(np.uint32) for c in codes]
+        second = [((c ^ salt) * _K[5] >> U64(63 - bits)).astype(short[1]) for c in codes]
         return first, second
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _odds(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """exp of bias and weights of the three rows. Biases are logs of shares and weights stay small: nothing overflows."""
+    x = table[rows[0]]
+    x += table[rows[1]]
+    x += table[rows[2]]
+    x += bias
+    np.minimum(x, 80, out=x)
+    return np.exp(x, out=x)
 
 
 def log_probabilities(c: Counts, w: Weights, t: Tokens, group: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Natural log of P(class) P(member | class) of every token."""
     out = np.empty(len(t))
-    for at in range(0, len(t), BATCH):
-        part = slice(at, min(len(t), at + BATCH))
+    for at in range(0, len(t), SLICE):
+        part = slice(at, min(len(t), at + SLICE))
         g, m = group[part], member[part]
         first, second = w.rows_of(t, part, g)
-        p1 = _log_softmax(c.bias_1 + w.first[first[0]] + w.first[first[1]] + w.first[first[2]])
-        p2 = _log_softmax(c.bias_2[g] + w.second[second[0]] + w.second[second[1]] + w.second[second[2]])
         i = np.arange(len(g))
-        out[part] = p1[i, g] + p2[i, m]
+        e1, e2 = _odds(w.first, first, c.bias_1), _odds(w.second, second, c.bias_2[g])
+        out[part] = np.log(np.maximum(e1[i, g].astype(float), 1e-300) / e1.sum(1)) + np.log(np.maximum(e2[i, m].astype(float), 1e-300) / e2.sum(1))
     return out
 
 
@@ -240,8 +249,9 @@ def train_on(c: Counts, w: Weights, t: Tokens) -> None:
         g, m = group[part], member[part]
         first, second = w.rows_of(t, part, g)
         i = np.arange(len(g))
-        d1 = -np.exp(_log_softmax(c.bias_1 + w.first[first[0]] + w.first[first[1]] + w.first[first[2]]))
-        d2 = -np.exp(_log_softmax(c.bias_2[g] + w.second[second[0]] + w.second[second[1]] + w.second[second[2]]))
+        d1, d2 = _odds(w.first, first, c.bias_1), _odds(w.second, second, c.bias_2[g])
+        d1 /= -d1.sum(1, keepdims=True)
+        d2 /= -d2.sum(1, keepdims=True)
         d1[i, g] += 1
         d2[i, m] += 1
         _step(w.first, first, d1)
@@ -249,9 +259,17 @@ def train_on(c: Counts, w: Weights, t: Tokens) -> None:
 
 
 def _only_changed(change: np.ndarray) -> tuple[bytes, bytes]:
-    """Places and values of what is not 0: rare features leave most of a part's rows as they were."""
+    """Places and values of what is not 0, or all values without places where those take less."""
     at = np.flatnonzero(change).astype(np.int32)
-    return at.tobytes(), change[at].tobytes()
+    return (at.tobytes(), change[at].tobytes()) if 2 * len(at) < len(change) else (b"", change.tobytes())
+
+
+def _add_to(sums: np.ndarray, at: bytes, change: bytes) -> np.ndarray:
+    """Adds what _only_changed gave; returns its places."""
+    x = np.frombuffer(change, np.float32)
+    place = np.frombuffer(at, np.int32) if at else np.flatnonzero(x)
+    sums[place] += x if at else x[place]
+    return place
 
 
 def trained(training: DataFrame, counts, rounds: int = ROUNDS, part_tokens: int = PART_TOKENS) -> Weights:
@@ -280,15 +298,14 @@ def trained(training: DataFrame, counts, rounds: int = ROUNDS, part_tokens: int
                     at, x = _only_changed(change[k * width : (k + 1) * width])
                     yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "at": pa.array([at], pa.binary()), "change": pa.array([x], pa.binary())})
 
-        def add(batches):
+        def add(batches, sent=sent):
             sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 for k, at, x in zip(batch.column("block").to_pylist(), batch.column("at").to_pylist(), batch.column("change").to_pylist(), strict=True):
                     if k not in sums:
-                        sums[k] = np.zeros(width), np.zeros(width, np.int32)
-                    place = np.frombuffer(at, np.int32)
-                    sums[k][0][place] += np.frombuffer(x, np.float32)
-                    sums[k][1][place] += 1
+                        own = min(width, len(sent.value) - k * width)
+                        sums[k] = np.zeros(own), np.zeros(own, np.int32)
+                    sums[k][1][_add_to(sums[k][0], at, x)] += 1
             for k, (x, times) in sums.items():
                 # the mean over the parts that have the feature, as far as it is not one part's alone
                 at, mean = _only_changed((x / np.maximum(times, 1)).astype(np.float32))
@@ -299,7 +316,7 @@ def trained(training: DataFrame, counts, rounds: int = ROUNDS, part_tokens: int
         changes = share.coalesce(parts).mapInArrow(learn, schema)
         flat = weights.flat.copy()
         for row in changes.repartition(BLOCKS, "block").mapInArrow(add, schema).toLocalIterator():
-            flat[row["block"] * width + np.frombuffer(row["at"], np.int32)] += np.frombuffer(row["change"], np.float32)
+            _add_to(flat[row["block"] * width : (row["block"] + 1) * width], row["at"], row["change"])
         weights = Weights(flat)
         sent.unpersist()
     return weights
