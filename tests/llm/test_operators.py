@@ -334,7 +334,7 @@ def test_lm_score_against_brute_force(spark):
         assert abs(score - got[r.doc_id]) < 0.02
     # the shares of a bin's words, and of one unseen word, add up to 1
     tail = c.slot < 0
-    assert tail.sum() > 100 and lm.rows_for(10**9) > lm.rows_for(10**8) > lm.LEAST_ROWS and lm.rows_for(10**15) == lm.MOST_ROWS
+    assert tail.sum() > 100 and lm.rows_for(10**10) > lm.rows_for(10**9) > lm.rows_for(10**8) == lm.LEAST_ROWS and lm.rows_for(10**15) == lm.MOST_ROWS
 
 
 def test_lm_gains_on_held_out_texts(spark):
