@@ -148,3 +148,13 @@ def vri_key(contents: Column) -> Column:
 def file_id(body: Column) -> Column:
     """First 16 bytes of SHA-256."""
     return F.substring(F.unhex(F.sha2(body, 256)), 1, 16)
+
+
+def gcm_encrypt(key: Column, nonce: Column, data: Column) -> Column:
+    """AES-256-GCM: the 12 bytes of nonce, the encrypted bytes, then the tag of 16."""
+    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("NONE"), nonce)
+
+
+def gcm_decrypt(key: Column, sealed: Column) -> Column:
+    """The bytes back, or null where key or tag don't fit."""
+    return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("NONE"))

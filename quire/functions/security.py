@@ -202,6 +202,16 @@ def file_key(encrypt: dict, id0: bytes, password: bytes) -> bytes | None:
     return None
 
 
+def supports(encrypt: dict) -> bool:
+    """Whether the standard handler can open a file with this dictionary: wrong passwords are told apart from other handlers."""
+    v = encrypt.get("V", 0)
+    if encrypt.get("Filter") != "Standard" or v not in (1, 2, 4, 5):
+        return False
+    filters, used = encrypt.get("CF"), encrypt.get("StmF")
+    method = filters.get(used, {}).get("CFM") if v == 4 and isinstance(filters, dict) else None
+    return v != 4 or method in ("V2", "AESV2") or used == "Identity"
+
+
 def unlock(doc: Document, password: bytes) -> None:
     """Sets the document's decryption; raises SyntaxFault where the password doesn't open it."""
     ref = doc.trailer["Encrypt"]

@@ -170,6 +170,9 @@ def color_space(doc: Document, v) -> tuple[str, int]:
         if head == "ICCBased":
             n = doc.dict_of(v[1]).get("N", 3) if len(v) > 1 else 3
             return head, max(1, min(8, n)) if type(n) is int else 3
+        if head == "DeviceN":
+            colorants = doc.resolve(v[1]) if len(v) > 1 else None
+            return head, max(1, len(colorants)) if isinstance(colorants, list) else 1
         return head, _COMPONENTS.get(head, 1)
     return str(v), _COMPONENTS.get(str(v), 1)
 
@@ -309,6 +312,20 @@ def fill_form(doc: Document, values: dict[str, str]) -> bytes:
     return write_incremental(doc.data, changed, doc)
 
 
+def _placed(doc: Document, rect, form: dict) -> tuple[float, float, float, float] | None:
+    """Scale and shift that put an appearance's box, turned by its matrix, onto the annotation's rectangle."""
+    if not isinstance(rect, list) or len(rect) != 4:
+        return None
+    x0, y0, x1, y1 = (float(v) for v in rect)
+    box = [float(v) for v in doc.resolve(form.get("BBox")) or [0, 0, x1 - x0, y1 - y0]]
+    a, b, c, d, e, f = (float(v) for v in doc.resolve(form.get("Matrix")) or [1, 0, 0, 1, 0, 0])
+    corners = [(a * x + c * y + e, b * x + d * y + f) for x in box[::2] for y in box[1::2]]
+    left, low = min(x for x, _ in corners), min(y for _, y in corners)
+    wide, high = max(x for x, _ in corners) - left, max(y for _, y in corners) - low
+    sx, sy = abs(x1 - x0) / wide if wide else 1.0, abs(y1 - y0) / high if high else 1.0
+    return sx, sy, min(x0, x1) - left * sx, min(y0, y1) - low * sy
+
+
 def flatten_form(doc: Document) -> bytes:
     """Paints widgets' normal appearances into their pages; widgets without one stay; the form goes."""
     changed: dict[int, object] = {}
@@ -319,10 +336,13 @@ def flatten_form(doc: Document) -> bytes:
             d = doc.dict_of(a)
             normal = doc.dict_of(d.get("AP")).get("N")
             if d.get("Subtype") == "Widget" and isinstance(normal, Ref) and isinstance(doc.resolve(normal), Stream):
-                x0, y0, *_ = [float(v) for v in doc.resolve(d.get("Rect")) or [0, 0, 0, 0]]
+                placed = _placed(doc, doc.resolve(d.get("Rect")), doc.resolve(normal).dict)
+                if placed is None:
+                    keep.append(a)
+                    continue
                 name = f"Flat{len(resources)}"
                 resources[name] = normal
-                paint.append(b"q 1 0 0 1 %g %g cm /%s Do Q" % (x0, y0, name.encode()))
+                paint.append(b"q %g 0 0 %g %g %g cm /%s Do Q" % (*placed, name.encode()))
             else:
                 keep.append(a)
         if paint and num is not None:

@@ -1,7 +1,7 @@
 """Documents as rows: bytes in a BINARY column become tables of their structure, and edited bytes.
 
-Each reader opens a document once, in an Arrow batch function beside the scan; there is no shuffle. A document that can't be read gives an
-error row where the table has an `error` column, and no row elsewhere.
+Each reader opens a document once, in an Arrow batch function beside the scan; there is no shuffle. A document that can't be read has
+a row in rejects(), with its error, and none in the other tables; a null document has no row in either.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import content, structure
+from quire.functions import content, metadata, structure
 from quire.functions.objects import Document, open_document, pages, serialise
 
 FAULTS = (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
@@ -54,6 +54,26 @@ def _split(schema: str) -> list[str]:
     return out
 
 
+def rejects(df: DataFrame, key: str = "doc_id", content_: str = "content", read: Callable[[Document], object] = structure.facts) -> DataFrame:
+    """key, error: the documents that can't be read, and why; `read` is what was to be read of them."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def go(batches):
+        for batch in batches:
+            keys, errors = [], []
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_py()
+                if data is not None:
+                    try:
+                        read(open_document(data))
+                    except FAULTS as e:
+                        keys.append(batch.column(0)[i].as_py())
+                        errors.append(f"{type(e).__name__}: {e}"[:200])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(errors, pa.string())], [key, "error"])
+
+    return df.select(key, content_).mapInArrow(go, f"{key} {kind}, error string")
+
+
 def meta(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
     return _rows(df, lambda d: [structure.facts(d)], "version string, open_mode string, n_pages int, n_objects int, title string, author string, encrypted boolean", key, content_)
 
@@ -127,6 +147,56 @@ def images(df: DataFrame, key: str = "doc_id", content_: str = "content") -> Dat
     return _rows(df, structure.images, "page_index int, width long, height long, bits long, color_space string, components int, encoding string, data binary", key, content_)
 
 
+def declared_dates(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    """The raw dates and XMP packet; scalars.pdf_date reads the dates."""
+    return _rows(df, lambda d: [{**metadata.dates(d), "xmp": metadata.xmp(d)}], "creation string, modification string, xmp string", key, content_)
+
+
+def version_requirements(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.requirements, "seq int, num long, major int, minor int, construct string", key, content_)
+
+
+def least_versions(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, lambda d: [{"version": "%d.%d" % metadata.least_version(d), "violation": metadata.violation(d, (1, 4))}], "version string, violation string", key, content_)
+
+
+def document_parts(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    read = lambda d: [{**r, "metadata": list(r["metadata"].items())} for r in metadata.parts(d)]
+    return _rows(df, read, "part int, start_page int, end_page int, metadata map<string,string>", key, content_)
+
+
+def structure_namespaces(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.namespaces, "ord int, uri string", key, content_)
+
+
+def developer_extensions(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.extensions, "prefix string, base_version string, level long, url string, revision string", key, content_)
+
+
+def encrypted_payloads(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, lambda d: [x] if (x := metadata.payload(d)) else [], "file_name string, filter string, version string, data binary", key, content_)
+
+
+def label_ranges(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.label_ranges, "start_page long, style string, prefix string, first long", key, content_)
+
+
+def special_spaces(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.special_spaces, "page_index int, name string, kind string, base string, colorants array<string>, entries int, first array<double>", key, content_)
+
+
+def written(df: DataFrame, author: Callable[..., bytes], key: str, *columns: str) -> DataFrame:
+    """key, content: a document that `author` writes from each row's columns."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def go(batches):
+        for batch in batches:
+            out = [author(*row.values()) for row in batch.select(list(columns)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "content"])
+
+    return df.select(key, *[c for c in columns if c != key]).mapInArrow(go, f"{key} {kind}, content binary")
+
+
 def edited(df: DataFrame, edit: Callable[[Document], bytes], key: str = "doc_id", content_: str = "content") -> DataFrame:
     """key, content: each document's bytes after an edit of quire.functions.structure."""
     return _rows(df, lambda d: [{"content": edit(d)}], "content binary", key, content_)

@@ -203,7 +203,12 @@ def text_strings(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", "text").mapInArrow(go, "conv_id long, turn long, kind string, text string")
 
 
-@_query()
+@_query(r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(p, '[ \t\x0b\f\r]+'), lambda x: x <> '') AS words FROM p),
+l AS (SELECT doc_id, i, CASE WHEN len(words) = 0 THEN '' ELSE list_reduce(words, lambda a, x: a || CASE WHEN length(a) - length(regexp_replace(a, '[^\n]*$', '')) + 1 + length(x) > 80 THEN chr(10) ELSE ' ' END || x) END AS t FROM w),
+d AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS t FROM l GROUP BY doc_id)
+SELECT doc_id, (length(t) - length(replace(t, chr(10), '')) + 1)::INTEGER AS n_lines, sha256(t) AS lines_sha FROM d""")
 def wrap_text(spark, d):
     """Lines of at most 80 characters, as an expression."""
     return _t(spark, d, "documents").select("doc_id", wrapped(F.col("text"), 80).alias("lines")).select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha"))

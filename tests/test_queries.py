@@ -1,8 +1,8 @@
 import pytest
 
-from quire.plans import document_queries, relational_queries
+from quire.plans import declared_queries, document_queries, relational_queries
 
-MODULES = {name: m for m in (relational_queries, document_queries) for name in m.queries()}
+MODULES = {name: m for m in (relational_queries, document_queries, declared_queries) for name in m.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(MODULES))
