@@ -239,7 +239,7 @@ def encoding_of(font: dict, doc: Document) -> dict[int, str]:
 
 
 def decoders(resources: dict, doc: Document) -> dict:
-    """A function bytes -> str for each font resource: ToUnicode, then composite fonts (nothing without it), then the encoding."""
+    """A function bytes -> str for each font resource: ToUnicode, then composite fonts by their character map and program, then the encoding."""
     out = {}
     for name, ref in doc.dict_of(resources.get("Font")).items():
         font = doc.dict_of(ref)
@@ -253,13 +253,37 @@ def decoders(resources: dict, doc: Document) -> dict:
         if cmap and cmap.map:
             out[name] = cmap.decode
         elif font.get("Subtype") == "Type0":
-            out[name] = lambda data: ""
+            out[name] = _composite(font, doc)
         else:
             table = encoding_of(font, doc)
             out[name] = lambda data, table=table: "".join(table.get(b, "") for b in data)
     return out
 
 
+def _composite(font: dict, doc: Document):
+    """Codes to CIDs, to glyphs of the embedded program, to the characters that it maps to them; nothing for what can't be followed."""
+    from quire.functions.cids import CharacterMap
+    from quire.functions.fonts import glyph_to_unicode
+
+    nothing = lambda data: ""
+    below = doc.resolve(font.get("DescendantFonts"))
+    own = doc.dict_of(below[0]) if isinstance(below, list) and below else {}
+    descriptor = doc.dict_of(font.get("FontDescriptor") or own.get("FontDescriptor"))
+    program = next((s for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(s := doc.resolve(descriptor.get(k)), Stream)), None)
+    encoding = doc.resolve(font.get("Encoding"))
+    try:
+        chars = glyph_to_unicode(decoded(program)) if program else None
+        cmap = CharacterMap(decoded(encoding)) if isinstance(encoding, Stream) else CharacterMap.predefined(str(encoding)) if isinstance(encoding, Name) else None
+        places = doc.resolve(own.get("CIDToGIDMap") or font.get("CIDToGIDMap"))
+        table = decoded(places) if isinstance(places, Stream) else None
+    except codecs.CodecError:
+        return nothing
+    if not chars or cmap is None:
+        return nothing
+    glyph = lambda cid: cid if table is None else int.from_bytes(table[2 * cid : 2 * cid + 2], "big")
+    return lambda data: "".join(chars.get(glyph(cid), "") for cid in cmap.cids(data))
+
+
 def _with(fonts: dict):
     return lambda font, data: fonts[font](data) if font in fonts else data.decode("latin-1")
 

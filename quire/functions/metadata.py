@@ -9,9 +9,9 @@ import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-from quire.functions import calc, codecs
-from quire.functions.content import text_string, to_text_string
-from quire.functions.objects import Document, Name, Ref, Stream, decoded, pages, write
+from quire.functions import calc, codecs, fonts
+from quire.functions.content import operations, text_string, to_text_string
+from quire.functions.objects import Document, Name, Ref, Stream, decoded, page_content, pages, write
 from quire.functions.structure import color_space, names
 
 Version = tuple[int, int]
@@ -272,6 +272,55 @@ def jbig2_globals(doc: Document, image: dict) -> bytes | None:
     return None
 
 
+def embedded_fonts(doc: Document) -> list[dict]:
+    """Embedded programs by object number: their metrics, and how many glyphs have outlines."""
+    out, seen = [], set()
+    for num, v in doc.live():
+        d = v if isinstance(v, dict) else {}
+        for key in ("FontFile", "FontFile2", "FontFile3"):
+            ref = d.get(key)
+            s = doc.resolve(ref)
+            if isinstance(s, Stream) and isinstance(ref, Ref) and ref.num not in seen and (facts := fonts.metrics(decoded(s))):
+                seen.add(ref.num)
+                out.append({"num": ref.num, **facts, "bytes": len(decoded(s))})
+    return out
+
+
+def used_codes(doc: Document) -> dict[int, set[int]]:
+    """The two-byte codes that pages show with each composite font (by object number)."""
+    out: dict[int, set[int]] = {}
+    for _, page in pages(doc):
+        known = doc.dict_of(doc.dict_of(page.get("Resources")).get("Font"))
+        num = None
+        for op, args in operations(page_content(doc, page)):
+            if op == "Tf" and args:
+                ref = known.get(str(args[0]))
+                num = ref.num if isinstance(ref, Ref) else None
+            elif op in ("Tj", "TJ", "'", '"') and num is not None and args:
+                for x in args[-1] if isinstance(args[-1], list) else [args[-1]]:
+                    if isinstance(x, bytes):
+                        out.setdefault(num, set()).update(int.from_bytes(x[i : i + 2], "big") for i in range(0, len(x) - 1, 2))
+    return out
+
+
+def subset_fonts(doc: Document) -> bytes:
+    """The document as a new file whose TrueType programs of composite Identity fonts hold only the outlines in use, where that is smaller."""
+    objects = dict(doc.live())
+    for num, codes in used_codes(doc).items():
+        font = doc.dict_of(Ref(num))
+        below = doc.resolve(font.get("DescendantFonts"))
+        own = doc.dict_of(below[0]) if isinstance(below, list) and below else {}
+        ref = doc.dict_of(own.get("FontDescriptor")).get("FontFile2")
+        if str(font.get("Encoding")) not in ("Identity-H", "Identity-V") or isinstance(doc.resolve(own.get("CIDToGIDMap")), Stream) or not isinstance(ref, Ref):
+            continue
+        whole = decoded(doc.resolve(ref))
+        less = fonts.subset(whole, sorted(codes))
+        if less is not None and len(less) < len(whole):
+            objects[ref.num] = Stream({"Filter": Name("FlateDecode"), "Length1": len(less)}, codecs.flate_encode(less))
+    info = doc.trailer.get("Info")
+    return write(objects, doc.trailer["Root"].num, info.num if isinstance(info, Ref) else None, doc.version or (1, 7))
+
+
 # --- authoring ---------------------------------------------------------------------------------------------------------
 
 
@@ -376,3 +425,33 @@ def declared(
     objects[num], objects[root] = {**own, "Resources": resources}, catalog
     return write(objects, root, info.num if isinstance(info, Ref) else None, version)
 
+
+def composite_font(program: bytes, map_: bytes | None = None) -> dict:
+    """A Type0 font of an embedded TrueType program without a ToUnicode map; map_: CIDs to glyphs, two bytes each."""
+    facts = fonts.metrics(program)
+    descriptor = {"Type": Name("FontDescriptor"), "FontName": Name(facts["name"]), "Flags": 4, "FontBBox": facts["bbox"], "ItalicAngle": facts["italic_angle"], "Ascent": facts["ascent"], "Descent": facts["descent"], "CapHeight": facts["cap_height"], "StemV": 80, "FontFile2": Stream({"Length1": len(program)}, program)}
+    widths = [w for _, w in fonts.advances(program)]
+    below = {"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name(facts["name"]), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "FontDescriptor": descriptor, "W": [0, widths], "CIDToGIDMap": Stream({}, map_) if map_ else Name("Identity")}
+    return {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name(facts["name"]), "Encoding": Name("Identity-H"), "DescendantFonts": [below]}
+
+
+def set_in_font(text: str, program: bytes, size: float = 12) -> bytes:
+    """A document of one page whose lines are set in an embedded program, in glyph numbers."""
+    lines = [b"<" + b"".join(b"%04X" % g["glyph"] for g in fonts.shaped(program, x)) + b"> Tj T*" for x in text.split("\n")]
+    content = b"BT /F0 %g Tf %g TL 50 790 Td " % (size, size * 1.2) + b"\n".join(lines) + b" ET"
+    objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref(2)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3)], "Count": 1}}
+
+    def add(v, whole: bool = False):
+        """Streams, descriptors and fonts as objects of their own."""
+        if isinstance(v, list):
+            return [add(x) for x in v]
+        if isinstance(v, dict):
+            v = {k: add(x) for k, x in v.items()}
+        if whole or isinstance(v, Stream) or isinstance(v, dict) and v.get("Type") in ("Font", "FontDescriptor"):
+            objects[max(objects) + 1] = v
+            return Ref(max(objects))
+        return v
+
+    objects[3] = None
+    objects[3] = {"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, 595, 842], "Contents": add(Stream({}, content)), "Resources": {"Font": {"F0": add(composite_font(program))}}}
+    return write(objects, 1)

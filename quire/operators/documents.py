@@ -185,6 +185,10 @@ def special_spaces(df: DataFrame, key: str = "doc_id", content_: str = "content"
     return _rows(df, metadata.special_spaces, "page_index int, name string, kind string, base string, colorants array<string>, entries int, first array<double>", key, content_)
 
 
+def embedded_fonts(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, metadata.embedded_fonts, "num long, name string, units_per_em int, n_glyphs int, ascent int, descent int, cap_height int, bbox array<int>, italic_angle double, italic boolean, outlines string, bytes long", key, content_)
+
+
 def written(df: DataFrame, author: Callable[..., bytes], key: str, *columns: str) -> DataFrame:
     """key, content: a document that `author` writes from each row's columns."""
     kind = df.schema[key].dataType.simpleString()

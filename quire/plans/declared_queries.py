@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import calc, metadata, structure
+from quire.functions import calc, fonts, metadata, structure
 from quire.functions import scalars as S
 from quire.functions.objects import Name, Stream, open_document
 from quire.operators import documents as D
@@ -205,3 +205,43 @@ def calculator_program(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double"))
     return rows.mapInArrow(go, "l_orderkey long, l_linenumber long, y double")
 
+
+
+#: Characters of the font that these queries embed; others come out as its glyph 0 and have no text.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,éèêëïîôöùûüßçñáíóúÄÖÜ"
+_IN_FONT = f"regexp_replace(text, '[^{_LETTERS}\\n]', '', 'g')"
+_SET = f"trim(regexp_replace(regexp_replace({_IN_FONT}, '\\n+', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'))"
+
+
+@_query(f"SELECT doc_id, sha256(regexp_replace({_SET}, '^\\s+|\\s+$', '', 'g')) AS text_sha, 'Drawn' AS font, {len(_LETTERS) + 1} AS n_glyphs, true AS smaller FROM documents")
+def composite_fonts(spark, d):
+    """Whole texts set in glyph numbers of an embedded font without a ToUnicode map, cut down to the glyphs in use, and read back through its characters."""
+    program = fonts.drawn(_LETTERS)
+
+    def author(text):
+        return metadata.subset_fonts(open_document(metadata.set_in_font(text or "", program)))
+
+    # what the subset drops of the program is its character table, so text is read from the whole file
+    whole = D.written(_docs(spark, d), lambda t: metadata.set_in_font(t or "", program), "doc_id", "text")
+    texts = D.document_texts(whole).select("doc_id", F.sha2("text", 256).alias("text_sha"))
+    cut = D.embedded_fonts(D.written(_docs(spark, d), author, "doc_id", "text")).select("doc_id", "n_glyphs", (F.col("bytes") < len(program)).alias("smaller"))
+    named = D.embedded_fonts(whole).select("doc_id", F.col("name").alias("font"))
+    return texts.join(cut, "doc_id").join(named, "doc_id").select("doc_id", "text_sha", "font", "n_glyphs", "smaller")
+
+
+@_query(f"""
+WITH f AS (SELECT unnest(string_split('{_LETTERS}', '')) AS c),
+w AS (SELECT c, 400 + ord(c) % 7 * 50 AS w FROM f),
+t AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), '')) AS c FROM conversations)
+SELECT t.conv_id, t.turn, count(*)::BIGINT AS n_glyphs, sum(coalesce(w, 500))::BIGINT AS width FROM t LEFT JOIN w USING (c) WHERE t.c <> '' GROUP BY t.conv_id, t.turn""")
+def shaped_text(spark, d):
+    """Texts as glyphs and advances of a font program, measured."""
+    def go(batches):
+        program = fonts.drawn(_LETTERS)
+        for b in batches:
+            found = [fonts.shaped(program, t or "") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([sum(g["advance"] for g in x) for x in found], pa.int64())], ["conv_id", "turn", "n_glyphs", "width"])
+
+    said = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text")
+    shaped = said.mapInArrow(go, "conv_id long, turn long, n_glyphs long, width long")
+    return shaped.groupBy("conv_id", "turn").agg(F.sum("n_glyphs").alias("n_glyphs"), F.sum("width").alias("width")).where("n_glyphs > 0")

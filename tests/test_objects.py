@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.functions import calc, codecs, composing, content, security, structure
+from quire.functions import calc, codecs, composing, content, fonts, metadata, security, structure
 from quire.functions.objects import Document, Lexer, Name, Ref, Stream, SyntaxFault, open_document, pages, serialise, write
 
 
@@ -33,31 +33,47 @@ def test_codec_rules():
     assert codecs.predicted(bytes([1, 1, 1, 5]), {"Predictor": 2, "Columns": 2}) == bytes([1, 2, 1, 6])
 
 
-@pytest.mark.parametrize("stream, text", [
-    (b"BT /F1 12 Tf (Hello World) Tj ET", "Hello World"), (b"BT [(Hello) -250 (World)] TJ ET", "Hello World"), (b"BT (line one) Tj 0 -14 Td (line two) Tj ET", "line one\nline two"),
-    (b"BT (first) Tj (second) ' ET", "first\nsecond"), (b"1 0 0 1 0 0 cm 0 0 100 100 re f", ""),
-])
-def test_text_operators(stream, text):
-    assert content.text_of(content.operations(stream)) == text
+def shown(*ops):
+    return content.text_of(content.operations(b"\n".join(ops)))
 
 
-def test_fragments_and_layout():
-    ops = content.operations
-    assert content.fragments(ops(b"1 0 0 1 10 20 cm BT 1 0 0 1 50 700 Tm (x) Tj ET")) == [("x", 60.0, 720.0)]
-    assert content.fragments(ops(b"q 1 0 0 1 5 5 cm Q BT 1 0 0 1 1 2 Tm (y) Tj ET")) == [("y", 1.0, 2.0)]
-    assert [f[2] for f in content.fragments(ops(b"BT 12 TL 0 100 Td (a) Tj T* (b) Tj ET"))] == [100.0, 88.0]
-    assert content.layout([("World", 60, 700), ("Hello", 10, 700.2), ("low", 10, 50)]) == "Hello World\nlow"
+def test_text_of_an_invoice():
+    """Breaks come from moves and from the end of a text object, blanks from wide gaps only."""
+    assert shown(b"q 0.5 w 40 40 200 300 re S Q") == ""
+    assert shown(b"BT /F3 9 Tf 72 640 Td (Invoice 2207) Tj ET", b"BT (Due) Tj 0 -11 TD (30 days) Tj ET") == "Invoice 2207\nDue\n30 days"
+    # kerning of 80 joins, a gap of 100 or more thousandths parts; numbers between strings may be real
+    assert shown(b"BT [(To) 80 (tal) -99.9 (:) -100 (41) -612.5 (EUR)] TJ ET") == "Total: 41 EUR"
+    assert shown(b"BT 13 TL (net) Tj (vat) ' 2 1 (gross) \" T* T* (paid) Tj ET") == "net\nvat\ngross\npaid"
+
+
+def test_fragments_of_a_turned_page():
+    """Places by hand: the text matrix first, then the page's; q and Q keep the latter alone."""
+    read = lambda *ops: content.fragments(content.operations(b"\n".join(ops)))
+    # a quarter turn about the origin and a shift: (x, y) goes to (300 - y, x)
+    assert read(b"0 1 -1 0 300 0 cm", b"BT 1 0 0 1 25 110 Tm (stamp) Tj ET") == [("stamp", 190.0, 25.0)]
+    # doubled inside q/Q only; the second move adds to the first line's start
+    got = read(b"q 2 0 0 2 0 0 cm BT 7 31 Td (in) Tj ET Q", b"BT 7 31 Td (out) Tj 3 -4 Td (below) Tj ET")
+    assert got == [("in", 14.0, 62.0), ("out", 7.0, 31.0), ("below", 10.0, 27.0)]
+    # TD sets the leading that T* and the quote use
+    assert [y for _, _, y in read(b"BT 0 500 Td 0 -17 TD (a) Tj T* (b) Tj (c) ' ET")] == [483.0, 466.0, 449.0]
+    # rows by rounded height, then from left to right, then as they came
+    cells = [("9.50", 220, 431.4), ("tea", 36, 430.6), ("Menu", 90, 612), ("!", 220, 431.0)]
+    assert content.layout(cells) == "Menu\ntea 9.50 !"
 
 
 def test_text_strings():
-    assert content.text_string(bytes.fromhex("FEFF00410042")) == "AB"
-    assert content.text_string(bytes.fromhex("EFBBBFC3A9")) == "é"
-    assert content.text_string(b"Hello\x1bde\x1b Welt") == "Hello Welt" and content.text_string(b"A\x1bB") == "AB"
+    """Marks of the encodings, language escapes, and what PDFDocEncoding has above ASCII."""
+    assert content.text_string(b"\xfe\xff" + "Žluťoučký 𝄞".encode("utf-16-be")) == "Žluťoučký 𝄞"
+    assert content.text_string(b"\xef\xbb\xbf" + "naïve ‰".encode()) == "naïve ‰"
+    assert content.text_string(b"on\x1ben-GB\x1be of two") == "one of two" and content.text_string(b"one\x1b mark") == "one mark"
+    for said in ("plain", "Größe", "π ≈ 3", ""):
+        assert content.text_string(content.to_text_string(said)) == said
 
 
 def test_unicode_map():
-    m = content.Unicode(b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <01> <00410042> endbfchar 1 beginbfrange <02> <04> <0061> endbfrange")
-    assert m.decode(b"\x01\x02\x04\x09") == "ABac"
+    """Codes of the widest entry's width; a list gives each code of its range a text of its own; unknown codes have none."""
+    m = content.Unicode(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0021> <00660066> endbfchar 2 beginbfrange <8001> <8003> <03B1> <0030> <0031> [<0078> <00790079>] endbfrange")
+    assert m.decode(b"\x00\x21\x80\x02\x00\x30\x00\x31\x12\x34\x80") == "ffβxyy"
 
 
 @pytest.mark.parametrize("kind", ["classic", "xref", "packed"])
@@ -115,17 +131,20 @@ def test_encryption(algorithm):
 
 
 def test_functions():
+    """Values worked out by hand for a spot colour's ramp, a folded ramp, a table of samples, and programs."""
     d = Document(b"", {}, {})
-    two = lambda **k: calc.parse(d, {"FunctionType": 2, "Domain": [0, 1], "N": 1} | k)
-    assert two(C0=[0, 0.0, 0], C1=[1, 0.5, 0])([0.5]) == [0.5, 0.25, 0] and two(N=2)([0.5]) == [0.25]
-    assert two(Range=[0, 0.5])([2.0]) == [0.5] and two(Range=[0, 0.5])([-1]) == [0]
-    part = {"FunctionType": 2, "Domain": [0, 1], "N": 1}
-    three = calc.parse(d, {"FunctionType": 3, "Domain": [0, 1], "Functions": [part, part], "Bounds": [0.5], "Encode": [0, 1, 1, 0]})
-    assert [three([x])[0] for x in (0.25, 0.75, 1)] == [0.5, 0.5, 0]
-    zero = calc.parse(d, Stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [3], "BitsPerSample": 8}, bytes([0, 128, 255])))
-    assert zero([0.25])[0] == pytest.approx(64 / 255)
+    made = lambda kind, **k: calc.parse(d, {"FunctionType": kind, "Domain": [0, 4]} | k)
+    ramp = made(2, C0=[0.2, 1.0], C1=[0.7, 0.0], N=2)
+    assert ramp([0.4]) == pytest.approx([0.28, 0.84]) and ramp([9]) == pytest.approx([8.2, -15.0]) and ramp([-3]) == [0.2, 1.0]
+    assert made(2, C1=[2.0], Range=[0.25, 1.5])([1]) == [1.5] and made(2, C1=[2.0], Range=[0.25, 1.5])([0]) == [0.25]
+    line = {"FunctionType": 2, "Domain": [0, 1], "N": 1}
+    fold = made(3, Functions=[line, {**line, "C0": [5], "C1": [7]}, line], Bounds=[1, 3], Encode=[0, 1, 0, 1, 1, 0])
+    assert [fold([x])[0] for x in (0.5, 1, 2, 3, 3.75, 4)] == [0.5, 5, 6, 1, 0.25, 0]
+    table = calc.parse(d, Stream({"FunctionType": 0, "Domain": [0, 6], "Range": [0, 30], "Size": [4], "BitsPerSample": 4}, b"\x05\xaf"))
+    assert [table([x])[0] for x in (0, 1, 2, 5, 6)] == pytest.approx([0, 5, 10, 25, 30])  # samples 0, 5, 10, 15 of 15 stand at 0, 2, 4, 6
     run = lambda text, *x: calc.run(calc.tokens(text), list(x), 1)[0]
-    assert run("{ dup mul }", 3) == 9 and run("{ 5 0.5 idiv }") == 0 and run("{ 0 gt { 1 } { 2 } ifelse }", -1) == 2 and run("{ 1 2 3 3 1 roll pop pop }") == 3 and run("{ 90 sin }") == pytest.approx(1)
+    assert run("{ 7 3 idiv 7 3 mod add }") == 3 and run("{ dup 0 lt { neg } if }", -6) == 6 and run("{ 4 5 6 2 copy add exch pop sub sub }") == 10 and run("{ 8 9 1 index sub sub }") == 7
+    assert run("{ 10 20 30 3 -1 roll }") == 10 and run("{ 1 1 atan }") == pytest.approx(45) and run("{ 2 10 exp 1 bitshift }") == 2048 and run("{ pop pop }") == 0
 
 
 def test_layout():
@@ -134,3 +153,34 @@ def test_layout():
     assert composing.paginate([4, 4, 40, 4], 10, 1) == [[0, 1], [2], [3]]
     assert composing.pdfa_violation({"unembedded_fonts": 1, "attachments": 1}, 1, "b") == "UnembeddedFont"
     assert composing.pdfua_violation({"tagged": True, "title": "x"}) == "MissingLanguage"
+
+
+def test_font_programs():
+    """A font written here: characters, widths, parts of composites, and a subset that keeps numbers."""
+    program = fonts.drawn("Tea é𝄞", lambda c: 300 + 10 * (ord(c) % 9), "Test Face")
+    assert fonts.glyph_to_unicode(program) == {i + 1: c for i, c in enumerate("Tea é𝄞")}
+    facts = fonts.metrics(program)
+    assert facts["name"] == "Test Face" and facts["n_glyphs"] == 7 and (facts["ascent"], facts["descent"]) == (800, -200) and facts["outlines"] == "glyf"
+    assert [(g["glyph"], g["advance"]) for g in fonts.shaped(program, "eX")] == [(2, 300 + 10 * (101 % 9)), (0, 500)]
+    assert fonts.glyphs_for(program, "Teeth") == [0, 1, 2] and fonts.advances(program)[0] == (0, 500)
+    less = fonts.subset(program, [2])
+    kept = fonts._outlines(fonts.opened(less))
+    assert len(less) < len(program) and [bool(x) for x in kept] == [True, False, True, False, False, False, False] and fonts.advances(less) == fonts.advances(program)
+    assert fonts.opened(b"OTTO") is None and fonts.metrics(program[:40]) is None and fonts.subset(b"", [1]) is None
+    # CIDs by way of a map to glyphs: code 5 is glyph 2, the rest has no glyph
+    font = metadata.composite_font(program, bytes(10) + b"\0\2")
+    assert content._composite(font, Document(b"", {}, {}))(b"\0\5\0\1") == "e"
+
+
+def test_declarations():
+    """What files declare wrongly is passed over."""
+    doc = open_document(structure.author("a\nb", "T"))
+    again = lambda **how: open_document(metadata.declared(doc, **how))
+    assert metadata.dates(doc) == {"creation": None, "modification": None} and metadata.xmp(doc) is None and metadata.payload(doc) is None and metadata.parts(doc) == []
+    x = again(annotations=[{"Subtype": Name("Link"), "A": {"S": Name("GoToDp")}}, {"AF": []}], packet="<x/>")
+    assert metadata.least_version(x) == (2, 0) and metadata.violation(x, (1, 7)) == "associated file" and metadata.violation(x, (2, 0)) is None and metadata.xmp(x) == "<x/>"
+    assert metadata.indexed(doc, [Name("Indexed"), Name("DeviceGray"), 300, b"\1\2"]) == {"base": "DeviceGray", "components": 1, "top": 255, "palette": b"\1\2"}
+    space = metadata.indexed(doc, [Name("I"), Name("DeviceRGB"), 1, b"abcdef"])
+    assert metadata.entry(space, 1) == b"def" and metadata.entry(space, 2) is None and metadata.indexed(doc, [Name("Indexed"), Name("G"), 1]) is None
+    assert metadata.separation(doc, [Name("DeviceN"), Name("Cyan"), Name("G"), {}]) is None and structure.color_space(doc, [Name("DeviceN"), [Name("A"), Name("B")]]) == ("DeviceN", 2)
+    assert metadata.png_image(b"no") is None and security.supports({"Filter": Name("Standard"), "V": 5}) and not security.supports({"Filter": Name("Adobe.PubSec"), "V": 4})
