@@ -94,6 +94,42 @@ def pdfa_violation(facts: dict, part: int, level: str) -> str | None:
     return next((name for name, broken in rules if broken), None)
 
 
+#: Flavours of PDF/A: part, conformance letter, version that the header gets.
+PDFA = {
+    "1a": (1, "A", (1, 4)), "1b": (1, "B", (1, 4)), "2a": (2, "A", (1, 7)), "2b": (2, "B", (1, 7)), "2u": (2, "U", (1, 7)), "3a": (3, "A", (1, 7)), "3b": (3, "B", (1, 7)), "3u": (3, "U", (1, 7)),
+    "4": (4, "", (2, 0)), "4e": (4, "E", (2, 0)), "4f": (4, "F", (2, 0)),
+}
+#: Standard structure types of PDF 1.7, and those of the PDF 2.0 namespace.
+TYPES_17 = """Document Part Art Sect Div BlockQuote Caption TOC TOCI Index NonStruct Private P H H1 H2 H3 H4 H5 H6 L LI Lbl LBody Table TR TH TD THead TBody TFoot
+Span Quote Note Reference BibEntry Code Link Annot Ruby RB RT RP Warichu WT WP Figure Formula Form""".split()
+TYPES_20 = """Document DocumentFragment Part Sect Div Aside NonStruct P H Title FENote Sub Lbl Span Em Strong Link Annot Form Ruby RB RT RP Warichu WT WP L LI LBody
+Table TR TH TD THead TBody TFoot Caption Figure Formula Artifact""".split()
+NAMESPACE_20, NAMESPACE_MATH = "http://iso.org/pdf2/ssn", "http://www.w3.org/1998/Math/MathML"
+
+
+def allows_attachments(flavour: str) -> bool:
+    return flavour in PDFA and (PDFA[flavour][0] == 3 or flavour in ("4e", "4f"))
+
+
+def known_structure_type(tag: str, namespace: str | None = None, maps: dict[tuple[str, str], tuple[str, str | None]] | None = None) -> bool:
+    """Whether a type is standard in its namespace, or a map takes it in one step to one that is. maps: (namespace, type) to (type, namespace)."""
+    standard = {None: lambda t: t in TYPES_17, NAMESPACE_20: lambda t: t in TYPES_20 or t[:1] == "H" and t[1:].isdigit() and not t.startswith("H0"), NAMESPACE_MATH: lambda t: True}
+    if namespace in standard:
+        return standard[namespace](tag)
+    to, there = (maps or {}).get((namespace, tag), (None, ""))
+    return to is not None and there in standard and standard[there](to)
+
+
+def pdfua2_violation(facts: dict) -> str | None:
+    """The rules of the second part: those of the first, without untyped notes and headings, and with files, links and types in order."""
+    rules = (
+        ("DeprecatedNote", "Note" in facts.get("types", ())), ("UnnumberedHeading", "H" in facts.get("types", ())), ("AttachmentWithoutDescription", facts.get("undescribed_files", 0) > 0),
+        ("LinkWithoutDestination", facts.get("loose_links", 0) > 0), ("UnknownStructureType", any(not known_structure_type(*x) for x in facts.get("typed", ()))),
+    )
+    first = pdfua_violation(facts)
+    return first or next((name for name, broken in rules if broken), None)
+
+
 def pdfua_violation(facts: dict) -> str | None:
     rules = (
         ("NotTagged", not facts.get("tagged", False)), ("UnembeddedFont", facts.get("unembedded_fonts", 0) > 0), ("FigureWithoutAlt", facts.get("figures_without_alt", 0) > 0),

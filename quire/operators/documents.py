@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import content, metadata, structure
+from quire.functions import composing, content, flow, metadata, structure
 from quire.functions.objects import Document, open_document, pages, serialise
 
 FAULTS = (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
@@ -189,6 +189,21 @@ def embedded_fonts(df: DataFrame, key: str = "doc_id", content_: str = "content"
     return _rows(df, metadata.embedded_fonts, "num long, name string, units_per_em int, n_glyphs int, ascent int, descent int, cap_height int, bbox array<int>, italic_angle double, italic boolean, outlines string, bytes long", key, content_)
 
 
+def structure_elements(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, flow.elements_of, "seq int, tag string, depth int, first_page int, n_lines int, described boolean", key, content_)
+
+
+def conformance(df: DataFrame, flavour: str = "2b", key: str = "doc_id", content_: str = "content") -> DataFrame:
+    """The first broken rule of a PDF/A flavour and of PDF/UA, from the facts of each file; null where none is broken."""
+    part, level, _ = composing.PDFA[flavour]
+
+    def read(d):
+        facts = flow.conformance_facts(d)
+        yield {"pdfa": composing.pdfa_violation(facts, part, level.lower()), "pdfua": composing.pdfua_violation(facts)}
+
+    return _rows(df, read, "pdfa string, pdfua string", key, content_)
+
+
 def written(df: DataFrame, author: Callable[..., bytes], key: str, *columns: str) -> DataFrame:
     """key, content: a document that `author` writes from each row's columns."""
     kind = df.schema[key].dataType.simpleString()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import calc, fonts, metadata, structure
+from quire.functions import calc, flow, fonts, metadata, structure
 from quire.functions import scalars as S
 from quire.functions.objects import Name, Stream, open_document
 from quire.operators import documents as D
@@ -245,3 +245,59 @@ def shaped_text(spark, d):
     said = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text")
     shaped = said.mapInArrow(go, "conv_id long, turn long, n_glyphs long, width long")
     return shaped.groupBy("conv_id", "turn").agg(F.sum("n_glyphs").alias("n_glyphs"), F.sum("width").alias("width")).where("n_glyphs > 0")
+
+
+def _blocks(doc_id, text):
+    lines = (text or "").split("\n")
+    return [flow.Block("heading", f"Document {doc_id}", level=doc_id % 9), flow.Block("text", "\n".join(lines[:-2]), style=flow.Style(align="justify")), flow.Block("list", lines[-2:], numbered=True)]
+
+
+_WORDS = r"list_filter(string_split_regex({}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')"
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, array_to_string(list_concat(['Document', doc_id::VARCHAR], {_WORDS.format("array_to_string(l[:-3], chr(10))")}, list_concat(CASE WHEN len(l) > 1 THEN list_concat(['1.'], {_WORDS.format("l[-2]")}, ['2.'], {_WORDS.format("l[-1]")}) ELSE list_concat(['1.'], {_WORDS.format("l[-1]")}) END)), ' ') AS t FROM d)
+SELECT doc_id, sha256(t) AS words_sha, true AS preflight FROM w""")
+def flowed_text(spark, d):
+    """Whole texts as a heading, justified paragraphs and a numbered list, broken into lines and pages by glyph widths, and read back; pages as counted beforehand."""
+    docs = _docs(spark, d)
+    files = D.written(docs, lambda i, t: flow.flowed(_blocks(i, t)), "doc_id", "doc_id", "text")
+    texts = D.document_texts(files).select("doc_id", F.sha2(F.array_join(F.filter(F.split("text", r"\s+"), lambda x: x != ""), " "), 256).alias("words_sha"))
+
+    def count(batches):
+        for b in batches:
+            n = [flow.pages_needed(_blocks(i, t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["doc_id", "needed"])
+
+    needed = docs.mapInArrow(count, "doc_id long, needed int").join(D.meta(files).select("doc_id", "n_pages"), "doc_id")
+    return texts.join(needed, "doc_id").select("doc_id", "words_sha", (F.col("needed") == F.col("n_pages")).alias("preflight"))
+
+
+@_query("""
+WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
+SELECT k, ceil((n + 0) / 39.0)::INTEGER AS n_pages, n::BIGINT AS n_rows, ceil(n / 39.0)::BIGINT AS n_headers FROM s""")
+def flowed_tables(spark, d):
+    """A table of each nation's suppliers: rows of 18 points below a header row that every page repeats, 39 rows a page."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").cast("long").alias("k"), F.col("s_suppkey").cast("string").alias("key"))
+    groups = rows.groupBy("k").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    paper = flow.Paper(400, 100 + 40 * 18, 50)
+
+    def author(keys):
+        table = flow.Block("table", [["Header", "Number"], *[["row", x] for x in keys]], columns=(("auto", 0), ("relative", 1)), headers=1)
+        return flow.flowed([table], paper, title="t", language="en")
+
+    files = D.written(groups, author, "k", "keys")
+    text = D.page_texts(files, "k").groupBy("k").agg(F.count("*").cast("int").alias("n_pages"), F.sum(F.regexp_count("text", F.lit("Header"))).cast("long").alias("n_headers"))
+    cells = D.structure_elements(files, "k").where("tag = 'TR'").groupBy("k").agg((F.count("*") - 1).alias("n_rows"))
+    return text.join(cells, "k").select("k", "n_pages", "n_rows", "n_headers")
+
+
+@_query("SELECT doc_id, 'H' || greatest(1, least(6, doc_id % 9)) AS heading, CASE WHEN strpos(text, chr(10)) > 0 THEN 2 ELSE 1 END::BIGINT AS n_items, 'UnembeddedFont' AS pdfa, CASE doc_id % 2 WHEN 0 THEN 'UnembeddedFont' ELSE 'NotTagged' END AS pdfua FROM documents")
+def tagged_structure(spark, d):
+    """Structure trees of tagged documents, and the first rule of PDF/A and PDF/UA that the files break."""
+    files = D.written(_docs(spark, d), lambda i, t: flow.flowed(_blocks(i, t), title=f"T{i}", language="en" if i % 2 == 0 else ""), "doc_id", "doc_id", "text")
+    always = D.written(_docs(spark, d), lambda i, t: flow.flowed(_blocks(i, t), title=f"T{i}", language="en"), "doc_id", "doc_id", "text")
+    found = D.structure_elements(always)
+    tags = found.groupBy("doc_id").agg(F.max(F.when(F.col("tag").rlike("^H[1-6]$"), F.col("tag"))).alias("heading"), F.count_if(F.col("tag") == "LI").alias("n_items"))
+    return tags.join(D.conformance(files), "doc_id").select("doc_id", "heading", "n_items", "pdfa", "pdfua")

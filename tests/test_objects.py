@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.functions import calc, codecs, composing, content, fonts, metadata, security, structure
+from quire.functions import calc, codecs, composing, content, flow, fonts, metadata, security, structure
 from quire.functions.objects import Document, Lexer, Name, Ref, Stream, SyntaxFault, open_document, pages, serialise, write
 
 
@@ -184,3 +184,34 @@ def test_declarations():
     assert metadata.entry(space, 1) == b"def" and metadata.entry(space, 2) is None and metadata.indexed(doc, [Name("Indexed"), Name("G"), 1]) is None
     assert metadata.separation(doc, [Name("DeviceN"), Name("Cyan"), Name("G"), {}]) is None and structure.color_space(doc, [Name("DeviceN"), [Name("A"), Name("B")]]) == ("DeviceN", 2)
     assert metadata.png_image(b"no") is None and security.supports({"Filter": Name("Standard"), "V": 5}) and not security.supports({"Filter": Name("Adobe.PubSec"), "V": 4})
+
+
+def test_flow():
+    """Places worked out by hand: alignment, hanging indents, breaks before rows that cross the page's end, widths of columns."""
+    style = flow.Style(10, 12, "right", "Courier")
+    assert flow.line_place(style, "abcd", 100, False) == (76.0, 0.0)
+    assert flow.line_place(flow.Style(10, 12, "justify", "Courier"), "ab c d", 60, False) == (0.0, 12.0) and flow.line_place(flow.Style(10, 12, "justify", "Courier"), "ab c d", 60, True) == (0.0, 0.0)
+    paper = flow.Paper(120, 100, 20)  # 80 by 60: five lines of 12
+    plain = flow.Style(10, 12, "left", "Courier")
+    sheets, elements = flow.laid([flow.Block("heading", "Top", level=9, style=plain), flow.Block("list", ["one two three four"], style=plain, indent=20)], paper)
+    assert [(x.text, x.x, x.y) for x in sheets[0]] == [("Top", 20, 70), ("•", 20, 58), ("one two", 40, 58), ("three four", 40, 46)]
+    assert [e.tag for e in elements] == ["H6", "L", "LI", "Lbl", "LBody"] and flow.heading_tag(-1) == "H1"
+    table = flow.Block("table", [["h", "i"]] + [[str(k), "x"] for k in range(5)], columns=(("auto", 0), ("relative", 1)), headers=1, padding=4, style=plain)
+    sheets, _ = flow.laid([table], paper)  # rows of 20: three a page, the header again on each
+    assert [[x.text for x in s] for s in sheets] == [["h", "i", "0", "x", "1", "x"], ["h", "i", "2", "x", "3", "x"], ["h", "i", "4", "x"]]
+    assert flow.column_widths(table, [["abc", ""]], 80) == [26.0, 54.0]
+    data = flow.flowed([table], paper, "T", "de", header="{page}/{pages}")
+    doc = open_document(data)
+    assert structure.document_text(doc).split("\f")[1].split("\n")[0] == "2/3" and sum(x["tag"] == "TH" for x in flow.elements_of(doc)) == 2
+    assert flow.conformance_facts(doc) == {"tagged": True, "unembedded_fonts": 2, "figures_without_alt": 0, "title": b"T", "language": b"de", "attachments": 0}
+    assert flow.flowed([table], paper, target=(1, 4))[:8] == b"%PDF-1.4"
+
+
+def test_standards():
+    assert composing.PDFA["2u"][:2] == (2, "U") and composing.allows_attachments("4f") and not composing.allows_attachments("2b")
+    known = composing.known_structure_type
+    assert known("Note") and not known("Title") and known("Title", composing.NAMESPACE_20) and known("H17", composing.NAMESPACE_20) and not known("Note", composing.NAMESPACE_20) and known("mi", composing.NAMESPACE_MATH)
+    maps = {("urn:a", "Para"): ("P", None), ("urn:a", "Far"): ("Para", "urn:a")}
+    assert known("Para", "urn:a", maps) and not known("Far", "urn:a", maps) and not known("Other", "urn:a", maps)
+    fine = {"tagged": True, "title": "t", "language": "en"}
+    assert composing.pdfua2_violation(fine) is None and composing.pdfua2_violation({**fine, "types": ["Note"]}) == "DeprecatedNote" and composing.pdfua2_violation({**fine, "typed": [("Far", "urn:a", maps)]}) == "UnknownStructureType"
