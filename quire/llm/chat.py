@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns, in order, are written with a template that marks each turn; control strings inside texts
-and roles are escaped reversibly. Prefix sums of the turns' tokens choose windows of whole turns: a window keeps
+and roles are escaped reversibly. Prefix sums of the turns' tokens, counted with a public vocabulary, choose windows of whole turns: a window keeps
 the system turn, repeats as much of the turns before it as `history` tokens hold, and takes new turns while the
-budget lasts (one new turn at least, so no text is cut). Targets are the assistant turns that are new in a window: each once;
+budget lasts (one new turn at least, so no text is cut: a turn beyond the budget has a window of its own, without history). Targets are the assistant turns that are new in a window: each once;
 repeated ones are masked.
 
 Defined cases: null texts and roles are empty; turns with one number come by role, then text; a null turn number
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.token_counts import VOCABULARY, encoder, read_vocabulary
+
 BUDGET = 512
 HISTORY = 128
 
@@ -31,7 +33,6 @@ CONTROL = (WINDOW, NEW, AGAIN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<
 
 _control = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _escaped = re.compile(r"\\(.)", re.DOTALL)
-_word = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def escape(text: str) -> str:
@@ -43,16 +44,15 @@ def unescape(text: str) -> str:
     return _escaped.sub(r"\1", text)
 
 
-def turn_tokens(role: str, text: str) -> int:
-    """Words of the escaped text, and the marks' share."""
-    return len(_word.findall(text)) + len(_word.findall(role)) + 3
+def turn_tokens(encode, role: str, text: str) -> int:
+    """Tokens of the role and the text as they are written, escaped, and one for each of the turn's three marks."""
+    return len(encode(escape(text))) + len(encode(escape(role))) + 3
 
 
-def windows(turns: list[tuple[str, str]], budget: int = BUDGET, history: int = HISTORY) -> list[tuple[bool, int, int, int]]:
-    """(system kept, first repeated turn, first new turn, end) of each window, from prefix sums of the turns' tokens."""
-    n = len(turns)
-    sums = np.concatenate([[0], np.cumsum([turn_tokens(*t) for t in turns], dtype=np.int64)])
-    system = bool(n) and turns[0][0] == "system"
+def windows(tokens: list[int], system: bool, budget: int = BUDGET, history: int = HISTORY) -> list[tuple[bool, int, int, int]]:
+    """(system kept, first repeated turn, first new turn, end) of each window, from prefix sums of the turns' tokens; system: the first turn is the system's."""
+    n = len(tokens)
+    sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
     own = int(sums[1]) if system else 0
     out, at = [], 0
     while at < n:
@@ -96,13 +96,15 @@ def read_window(text: str) -> list[tuple[bool, str, str]]:
     return [(m[1] == NEW, unescape(m[2]), unescape(m[3])) for m in _turn.finditer(text)]
 
 
-def _convert(budget: int, history: int):
+def _convert(budget: int, history: int, vocabulary):
     def convert(batches):
+        encode = encoder(vocabulary.value).encode_ordinary
         for batch in batches:
             rows = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
                 pairs = [(t["role"], t["text"]) for t in turns]
-                formatted = [format_window(pairs, w) for w in windows(pairs, budget, history)]
+                tokens = [turn_tokens(encode, *t) for t in pairs]
+                formatted = [format_window(pairs, w) for w in windows(tokens, bool(pairs) and pairs[0][0] == "system", budget, history)]
                 rows.append({"conv_id": conv, "windows": [{"text": t, "targets": [{"start": a, "end": b} for a, b in spans]} for t, spans in formatted]})
             yield pa.RecordBatch.from_pylist(rows, schema=_WINDOWS)
 
@@ -112,11 +114,12 @@ def _convert(budget: int, history: int):
 _WINDOWS = pa.schema([("conv_id", pa.int64()), ("windows", pa.list_(pa.struct([("text", pa.string()), ("targets", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])))])
 
 
-def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """conv_id, windows: array of (text, targets), targets being spans (code points) of the text under the loss mask."""
+    vocabulary = conversations.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return whole.mapInArrow(_convert(budget, history), "conv_id long, windows array<struct<text:string,targets:array<struct<start:long,end:long>>>>")
+    return whole.mapInArrow(_convert(budget, history, vocabulary), "conv_id long, windows array<struct<text:string,targets:array<struct<start:long,end:long>>>>")
 
 
 def read_back(output: DataFrame) -> DataFrame:

@@ -24,6 +24,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splitting tree of op4 deals to each output shard."""
+    return mixing.shards(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT -7L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role)").selectExpr("conv_id", "turn", "role", f"'{said}' AS text")
@@ -55,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_token_counts, op3_decontamination, op4_mixing, op5_chat, op6_topk, op7_toxicity, op8_lm_scoring, op9_ngram_jaccard, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_token_counts, op3_decontamination, op4_mixing, mixing_shards, op5_chat, op6_topk, op7_toxicity, op8_lm_scoring, op9_ngram_jaccard, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

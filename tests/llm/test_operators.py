@@ -231,6 +231,15 @@ def test_chat(spark, sf):
             r = got[key]
             assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b, _ in turns).encode()).hexdigest()
             assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    encode = token_counts.encoder(token_counts.read_vocabulary(token_counts.VOCABULARY)).encode_ordinary
+    turns = [("system", "be [INST] kind"), ("user", "word " * 40)]
+    assert [chat.turn_tokens(encode, *t) for t in turns] == [len(encode("be [\\INST] kind")) + len(encode("system")) + 3, len(encode("word " * 40)) + len(encode("user")) + 3]
+    # 10 a turn, budget 35 and history 12: the system turn and one turn of history leave room for one new turn
+    assert chat.windows([10] * 5, True, 35, 12) == [(False, 0, 0, 3), (True, 2, 3, 4), (True, 3, 4, 5)]
+    assert chat.windows([10, 90, 10], False, 35, 12) == [(False, 0, 0, 1), (False, 1, 1, 2), (False, 2, 2, 3)] and chat.windows([], False) == []
+    assert chat.formatted(conv.where("false")).count() == 0
+    clash = conv.withColumn("turns", F.lit(1)).withColumn("windows", F.lit("x")).withColumn("a.b", F.lit(2))
+    assert chat.formatted(clash).count() == chat.formatted(conv).count()
     windows = chat.formatted(conv.where("conv_id = -8"), 100, 60).first().windows
     assert len(windows) > 5 and all(chat.read_window(w.text)[0][1] == "system" for w in windows)
 
@@ -269,10 +278,23 @@ def test_toxicity(spark, edge, none):
     assert toxicity.scored(edge, empty).where("expected_severity = 0").count() == edge.count()
 
 
-def test_toxicity_held_out(spark, docs, sf):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    model = toxicity.trained(docs, labels, sample=60, least_docs=2)
-    assert toxicity.scored(docs, model).count() == docs.count()
+def test_toxicity_held_out(spark):
+    """Labels that the fit has not seen: two thirds of the labelled documents train, the rest is scored."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.trained(docs, labels.where("doc_id % 3 != 0"))
+    unseen = labels.where("doc_id % 3 = 0 and toxic is not null")
+    got = toxicity.scored(docs, model).join(unseen, "doc_id").select("toxic", (F.col("p_above_least") >= toxicity.THRESHOLD).alias("said")).toPandas()
+    toxic = got[got.toxic == 1]
+    assert len(toxic) > 100 and toxic.said.mean() > 0.8 and got[got.toxic == 0].said.mean() < 0.005
+
+
+def test_toxicity_odd_labels(spark):
+    """Null grades and ids count for nothing, the largest of several labels counts, repeated rows are scored each."""
+    d = spark.createDataFrame([(i, "vile thing " * (i % 2) + f"word{i % 5} text") for i in range(60)] + [(1, "vile thing word1 text"), (None, "vile thing")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (3, None), (None, 1), (999, 1)], "doc_id long, toxic long")
+    got = toxicity.scored(d, toxicity.trained(d, labels)).collect()
+    assert len(got) == 62 and all((r.severity == 1) == (r.doc_id is None or r.doc_id % 2 == 1) for r in got)
 
 
 # --- 8
