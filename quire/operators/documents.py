@@ -114,10 +114,11 @@ def operation_table(df: DataFrame, key: str = "doc_id", content_: str = "content
     return _rows(df, read, "page_index int, seq int, operator string, operands array<string>", key, content_)
 
 
-def fragment_table(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+def fragment_table(df: DataFrame, key: str = "doc_id", content_: str = "content", every_page: bool = False) -> DataFrame:
+    """The positioned texts of each page; with every_page, a page without any has one empty text."""
     def read(d):
         for i, (_, p) in enumerate(pages(d)):
-            for n, (t, x, y) in enumerate(content.page_fragments(d, p)):
+            for n, (t, x, y) in enumerate(content.page_fragments(d, p) or [("", 0.0, 0.0)] * every_page):
                 yield {"page_index": i, "seq": n, "text": t, "x": x, "y": y}
 
     return _rows(df, read, "page_index int, seq int, text string, x double, y double", key, content_)
@@ -221,16 +222,16 @@ def edited(df: DataFrame, edit: Callable[[Document], bytes], key: str = "doc_id"
     return _rows(df, lambda d: [{"content": edit(d)}], "content binary", key, content_)
 
 
-def authored(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """key, content: a document written from each text."""
-    kind = df.schema[key].dataType.simpleString()
+def authored(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), **how) -> DataFrame:
+    """key, content and the columns to keep: a document written from each text."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
 
     def go(batches):
         for batch in batches:
             out = [structure.author(t or "", str(k), **how) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *[batch.column(c) for c in keep]], [key, "content", *keep])
 
-    return df.select(key, text).mapInArrow(go, f"{key} {kind}, content binary")
+    return df.select(key, text, *keep).mapInArrow(go, ", ".join([f"{key} {kinds[key]}", "content binary", *[f"{c} {kinds[c]}" for c in keep]]))
 
 
 def merged(df: DataFrame, group: str, order: str, content_: str = "content") -> DataFrame:
