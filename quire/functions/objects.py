@@ -376,17 +376,22 @@ def _strict(data: bytes) -> tuple[dict, dict]:
     if not m:
         raise SyntaxFault("no startxref")
     entries: dict = {}
-    trailer, todo, seen = None, [int(m[1])], set()
+    trailer, todo, seen = None, [(int(m[1]), True)], set()
     while todo and len(seen) < MAX_SECTIONS:
-        offset = todo.pop(0)
+        offset, whole = todo.pop(0)
         if offset in seen:
             continue
         seen.add(offset)
         blank = _blank.match(data, offset).end() if offset < len(data) else offset
-        t = _classic(data, blank, entries) if data.startswith(b"xref", blank) else _xref_stream(data, offset, entries)
+        try:
+            t = _classic(data, blank, entries) if whole and data.startswith(b"xref", blank) else _xref_stream(data, offset, entries)
+        except (SyntaxFault, codecs.CodecError):
+            if whole:
+                raise
+            continue  # a hybrid file reads without its stream, as far as it goes
         trailer = trailer or t
         # the section's own hybrid stream ranks before older sections
-        todo = [t[k] for k in ("XRefStm", "Prev") if type(t.get(k)) is int] + todo
+        todo = [(t[k], k == "Prev") for k in ("XRefStm", "Prev") if type(t.get(k)) is int and (whole or k == "XRefStm")] + todo
     return entries, trailer
 
 

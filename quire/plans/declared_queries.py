@@ -12,6 +12,7 @@ from quire.functions import calc, flow, fonts, metadata, structure
 from quire.functions import scalars as S
 from quire.functions.objects import Name, Stream, open_document
 from quire.operators import documents as D
+from quire.plans import foreign_files
 
 _all: dict[str, tuple] = {}
 
@@ -301,3 +302,14 @@ def tagged_structure(spark, d):
     found = D.structure_elements(always)
     tags = found.groupBy("doc_id").agg(F.max(F.when(F.col("tag").rlike("^H[1-6]$"), F.col("tag"))).alias("heading"), F.count_if(F.col("tag") == "LI").alias("n_items"))
     return tags.join(D.conformance(files), "doc_id").select("doc_id", "heading", "n_items", "pdfa", "pdfua")
+
+
+@_query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), ''), '^\\s+|\\s+$', '', 'g') AS t FROM l GROUP BY doc_id)
+SELECT doc_id, (doc_id % {len(foreign_files.LAYOUTS)})::INTEGER AS layout, sha256(t) AS text_sha, CASE WHEN doc_id % {len(foreign_files.LAYOUTS)} < {foreign_files.DAMAGED} THEN 'Strict' ELSE 'Recovered' END AS open_mode FROM t""")
+def foreign_layouts(spark, d):
+    """Whole texts in files that this package's writer has not written: thirteen layouts, four of them damaged."""
+    files = D.written(_docs(spark, d), lambda i, t: foreign_files.built(foreign_files.LAYOUTS[i % len(foreign_files.LAYOUTS)], t or ""), "doc_id", "doc_id", "text")
+    texts = D.document_texts(files).select("doc_id", F.pmod("doc_id", F.lit(len(foreign_files.LAYOUTS))).cast("int").alias("layout"), F.sha2("text", 256).alias("text_sha"))
+    return texts.join(D.meta(files).select("doc_id", "open_mode"), "doc_id")
