@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import composing, content, flow, metadata, structure
+from quire.functions import signatures as signing
 from quire.functions.objects import Document, open_document, pages, serialise
 
 FAULTS = (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError)
@@ -205,6 +206,16 @@ def conformance(df: DataFrame, flavour: str = "2b", key: str = "doc_id", content
     return _rows(df, read, "pdfa string, pdfua string", key, content_)
 
 
+def signatures(df: DataFrame, roots: tuple[bytes, ...] = (), key: str = "doc_id", content_: str = "content") -> DataFrame:
+    """Every signature, verified; roots: certificates (DER) that are trusted."""
+    read = lambda d: signing.signatures(d, [signing.Certificate.of(r) for r in roots])
+    return _rows(df, read, "name string, signer string, digest string, intact boolean, authentic boolean, trusted boolean, covers_file boolean, vri_key string, reason string, fault string", key, content_)
+
+
+def validation_info(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    return _rows(df, signing.validation_info, "vri_key string, n_certificates int, n_crls int, n_ocsps int", key, content_)
+
+
 def written(df: DataFrame, author: Callable[..., bytes], key: str, *columns: str) -> DataFrame:
     """key, content: a document that `author` writes from each row's columns."""
     kind = df.schema[key].dataType.simpleString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import calc, flow, fonts, metadata, structure
 from quire.functions import scalars as S
+from quire.functions import signatures as signing
 from quire.functions.objects import Name, Stream, open_document
 from quire.operators import documents as D
 from quire.plans import foreign_files
@@ -313,3 +314,26 @@ def foreign_layouts(spark, d):
     files = D.written(_docs(spark, d), lambda i, t: foreign_files.built(foreign_files.LAYOUTS[i % len(foreign_files.LAYOUTS)], t or ""), "doc_id", "doc_id", "text")
     texts = D.document_texts(files).select("doc_id", F.pmod("doc_id", F.lit(len(foreign_files.LAYOUTS))).cast("int").alias("layout"), F.sha2("text", 256).alias("text_sha"))
     return texts.join(D.meta(files).select("doc_id", "open_mode"), "doc_id")
+
+
+def _authority(seed: int) -> tuple[bytes, bytes]:
+    """A root's certificate, and that of a signer whom it vouches for (with key 10)."""
+    root = signing.key_for_tests(seed)
+    return signing.certificate(f"Root {seed}", root, f"Root {seed}", root), signing.certificate("Signer", signing.key_for_tests(10), f"Root {seed}", root, 7)
+
+
+@_query("SELECT doc_id, 'Signer' AS signer, 'sha256' AS digest, doc_id % 3 <> 1 AS intact, true AS authentic, doc_id % 3 <> 2 AS trusted, doc_id % 2 = 0 AS covers_file, 'Reason ' || doc_id AS reason, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END::INTEGER AS n_certificates FROM documents")
+def signed_documents(spark, d):
+    """Whole texts signed and verified: every third file changed after signing, every third by a signer of an unknown root, every second
+    with a revision behind the signature that adds the certificate to the security store."""
+    def author(i, text):
+        root, own = _authority(2 if i % 3 == 2 else 1)
+        data = signing.signed(open_document(structure.author(text or "")), signing.key_for_tests(10), [own], reason=f"Reason {i}", time="260101120000Z")
+        if i % 3 == 1:
+            data = data.replace(b"(quire)", b"(quirk)", 1)
+        return signing.with_validation(open_document(data), [own]) if i % 2 else data
+
+    files = D.written(_docs(spark, d), author, "doc_id", "doc_id", "text")
+    held = D.validation_info(files).where("vri_key != ''").select("doc_id", "vri_key", "n_certificates")
+    found = D.signatures(files, (_authority(1)[0],)).join(held, ["doc_id", "vri_key"], "left")
+    return found.select("doc_id", "signer", "digest", "intact", "authentic", "trusted", "covers_file", "reason", F.coalesce("n_certificates", F.lit(0)).alias("n_certificates"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quire.functions import calc, codecs, composing, content, flow, fonts, metadata, security, structure
+from quire.functions import signatures as signing
 from quire.functions.objects import Document, Lexer, Name, Ref, Stream, SyntaxFault, open_document, pages, serialise, write
 
 
@@ -215,3 +216,29 @@ def test_standards():
     assert known("Para", "urn:a", maps) and not known("Far", "urn:a", maps) and not known("Other", "urn:a", maps)
     fine = {"tagged": True, "title": "t", "language": "en"}
     assert composing.pdfua2_violation(fine) is None and composing.pdfua2_violation({**fine, "types": ["Note"]}) == "DeprecatedNote" and composing.pdfua2_violation({**fine, "typed": [("Far", "urn:a", maps)]}) == "UnknownStructureType"
+
+
+def test_signatures():
+    root, own = signing.key_for_tests(1), signing.key_for_tests(2)
+    top, mid = signing.certificate("Top", root, "Top", root), signing.certificate("Mid", own, "Top", root, 5)
+    leaf_key = signing.key_for_tests(3)
+    leaf = signing.certificate("Leaf", leaf_key, "Mid", own, 300, ("250101000000Z", "260101000000Z"))
+    of = signing.Certificate.of
+    message = signing.signed_message(b"content", leaf_key, [leaf, mid], "250601000000Z")
+    good = signing.verified(message + bytes(40), b"content", [of(top)])
+    assert (good.signer, good.intact, good.authentic, good.trusted, good.time) == ("Leaf", True, True, True, "250601000000Z")
+    assert not signing.verified(message, b"contents", [of(top)]).intact and not signing.verified(message, b"content").trusted
+    late = signing.verified(signing.signed_message(b"content", leaf_key, [leaf, mid], "260601000000Z"), b"content", [of(top)])
+    assert late.authentic and not late.trusted  # the certificate had ended
+    forged = signing.verified(signing.signed_message(b"content", own, [leaf, mid]), b"content", [of(top)])
+    assert forged.intact and not forged.authentic and not forged.trusted
+    for bad in (b"", b"\x30\x80", message[:200], b"\x30\x03\x02\x01\x01"):
+        assert signing.verified(bad, b"content").fault
+    assert signing.read(signing.integer(-129))[0].number() == -129 and signing.read(signing.identifier("1.2.840.113549.1.7.2"))[0].oid() == "1.2.840.113549.1.7.2"
+    assert len(signing.der(4, bytes(300))) == 304 and signing.rsa_verified(own.n, own.e, b"m", signing.rsa_sign(own, b"m", "sha512"), "sha512")
+    plain = structure.author("one\ntwo", fields={"f": "v"})
+    data = signing.signed(open_document(plain), leaf_key, [leaf, mid], "Sig", "why", "250601000000Z")
+    again = signing.signed(open_document(data), leaf_key, [leaf, mid], "Second")
+    rows = signing.signatures(open_document(again), [of(top)])
+    assert data.startswith(plain) and [(r["name"], r["covers_file"], r["intact"], r["trusted"]) for r in rows] == [("Sig", False, True, True), ("Second", True, True, True)]
+    assert structure.document_text(open_document(again)) == "one\ntwo" and {f["name"] for f in structure.form_fields(open_document(again))} == {"f", "Sig", "Second"}
