@@ -96,16 +96,35 @@ def page_table(df: DataFrame, key: str = "doc_id", content_: str = "content") ->
     return _rows(df, read, "page_index int, object long, media_box array<double>, rotate long", key, content_)
 
 
-def object_table(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
-    kinds = {type(None): "null", bool: "bool", int: "int", float: "real", bytes: "string", list: "array", dict: "dict"}
+_KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", bytes: "string", list: "array", dict: "dict"}
+
+
+def _value(v) -> tuple[str, str]:
+    """Kind and syntax; a stream's syntax is its dictionary's."""
+    return _KINDS.get(type(v), type(v).__name__.lower()), serialise(v if not hasattr(v, "raw") else v.dict).decode("latin-1")
 
+
+def object_table(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
     def read(d):
         for num, v in d.live():
-            yield {"num": num, "kind": kinds.get(type(v), type(v).__name__.lower()), "syntax": serialise(v if not hasattr(v, "raw") else v.dict).decode("latin-1")}
+            kind, syntax = _value(v)
+            yield {"num": num, "kind": kind, "syntax": syntax}
 
     return _rows(df, read, "num long, kind string, syntax string", key, content_)
 
 
+def object_entries(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
+    """Entries of dictionaries and streams, a row each: functions.values has accessors for kind and syntax."""
+
+    def read(d):
+        for num, v in d.live():
+            for k, x in (v.dict if hasattr(v, "raw") else v if isinstance(v, dict) else {}).items():
+                kind, syntax = _value(x)
+                yield {"num": num, "name": k, "kind": kind, "syntax": syntax}
+
+    return _rows(df, read, "num long, name string, kind string, syntax string", key, content_)
+
+
 def operation_table(df: DataFrame, key: str = "doc_id", content_: str = "content") -> DataFrame:
     def read(d):
         for i, (_, p) in enumerate(pages(d)):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import calc, flow, fonts, metadata, structure
+from quire.functions import values as V
 from quire.functions import scalars as S
 from quire.functions import signatures as signing
 from quire.functions.objects import Name, Stream, open_document
@@ -337,3 +338,35 @@ def signed_documents(spark, d):
     held = D.validation_info(files).where("vri_key != ''").select("doc_id", "vri_key", "n_certificates")
     found = D.signatures(files, (_authority(1)[0],)).join(held, ["doc_id", "vri_key"], "left")
     return found.select("doc_id", "signer", "digest", "intact", "authentic", "trusted", "covers_file", "reason", F.coalesce("n_certificates", F.lit(0)).alias("n_certificates"))
+
+
+@_query(f"SELECT doc_id, {_PAGES}::BIGINT AS n_pages, 2::BIGINT AS tree, 842.0::DOUBLE AS height, 2 * {_PAGES} AS n_kids, 'Count,Kids,Lang,Type' AS names, {_PAGES}::BIGINT AS n_parents FROM documents")
+def value_accessors(spark, d):
+    """Entries of the files' objects through the value accessors: integers, references, numbers of arrays, dictionaries changed."""
+    e = D.object_entries(D.authored(_docs(spark, d), kind="xref"))
+    kind, syntax = F.col("kind"), F.col("syntax")
+    numbers = F.filter(F.split(F.translate("syntax", "[]", ""), " "), lambda x: x != "")
+    tree = F.col("num") == 2
+    dictionary = F.map_from_entries(F.collect_list(F.when(tree, F.struct("name", "syntax"))))
+    changed = V.removed(V.inserted(V.inserted(dictionary, "Count", F.lit("7")), "Lang", F.lit("(en)")), "MediaBox")
+    kids = F.max(F.when(tree & (F.col("name") == "Kids"), F.size(V.pushed(F.split("syntax", " R"), F.lit("x"))) - 2))
+    out = e.groupBy("doc_id").agg(
+        F.max(F.when(F.col("name") == "Count", V.as_integer(kind, syntax))).alias("n_pages"), F.max(F.when((F.col("name") == "Pages"), V.as_reference(kind, syntax)["num"])).alias("tree"),
+        F.max(F.when(F.col("name") == "MediaBox", V.as_number(F.lit("int"), F.get(numbers, F.lit(3))))).alias("height"), kids.alias("kids"),
+        F.array_join(F.transform(V.entries(changed), lambda x: x["key"]), ",").alias("names"), V.got(dictionary, "Count").try_cast("long").alias("count"),
+        F.count_if((F.col("name") == "Parent") & (V.as_reference(kind, syntax)["num"] == 2) & V.as_bool(kind, syntax).isNull() & V.as_real(kind, syntax).isNull()).alias("n_parents"),
+    )
+    return out.select("doc_id", "n_pages", "tree", "height", (F.col("kids") + F.col("count")).cast("long").alias("n_kids"), "names", "n_parents")
+
+
+@_query(r"""
+SELECT page_id, len(regexp_extract_all(url, '[()<>\[\]{}/%]'))::BIGINT AS delimiters, len(regexp_extract_all(html, '[\x00\t\n\f\r ]'))::BIGINT AS spaces, len(regexp_extract_all(url, '[^\x00\t\n\f\r ()<>\[\]{}/%]'))::BIGINT AS regular,
+  coalesce(list_sum(list_transform(regexp_extract_all(url, '[0-9A-Fa-f]'), lambda x: instr('123456789abcdef', lower(x)))), 0)::BIGINT AS digits
+FROM pages""")
+def byte_classes(spark, d):
+    """Classes of the bytes of whole addresses and pages."""
+    codes = lambda c: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != ""), lambda x: F.ascii(x))
+    count = lambda c, f: F.size(F.filter(codes(F.col(c)), f)).cast("long")
+    digits = F.aggregate(codes(F.col("url")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(V.hex_value(x), F.lit(0)))
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", count("url", V.is_delimiter).alias("delimiters"), count("html", V.is_white_space).alias("spaces"), count("url", V.is_regular).alias("regular"), digits.alias("digits"))
