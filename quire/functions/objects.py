@@ -20,6 +20,18 @@ MAX_SECTIONS = 8192
 MAX_HOPS = 64
 MAX_TREE = 1024
 
+
+@dataclass(frozen=True)
+class Limits:
+    """What a file may ask for: nesting of values, members of an object stream, objects, bytes and filters of a stream."""
+
+    nesting: int = MAX_NESTING
+    members: int = MAX_MEMBERS
+    objects: int = MAX_OBJECTS
+    decoded: int = codecs.MAX_OUTPUT
+    filters: int = codecs.MAX_FILTERS
+
+
 WHITE = b"\0\t\n\f\r "
 DELIMITERS = b"()<>[]{}/%"
 
@@ -58,7 +70,8 @@ class Operator(bytes):
 
 
 class Lexer:
-    def __init__(self, data: bytes, at: int = 0):
+    def __init__(self, data: bytes, at: int = 0, nesting: int = MAX_NESTING):
+        self.nesting = nesting
         self.data, self.at = data, at
 
     def skip(self) -> None:
@@ -66,7 +79,7 @@ class Lexer:
 
     def value(self, depth: int = 0, refs: bool = True):
         """The next value or Operator; raises SyntaxFault at the end or on a stray delimiter."""
-        if depth > MAX_NESTING:
+        if depth > self.nesting:
             raise SyntaxFault("nested too deeply")
         self.skip()
         data, at = self.data, self.at
@@ -259,6 +272,12 @@ class Document:
     members: dict[int, list] = field(default_factory=dict)
     decrypt: object = None
     exempt: int | None = None
+    limits: Limits = Limits()
+
+    def data_of(self, s: Stream) -> bytes:
+        """A stream's bytes through its filters, within the document's limits."""
+        names, params = filters_of(s.dict)
+        return codecs.decode_chain(s.raw, names, params, self.limits.decoded, self.limits.filters)
 
     def get(self, num: int):
         """The object of a number; null where it is missing, free or broken. Containers are decoded once."""
@@ -269,7 +288,7 @@ class Document:
         self.cache[num] = None
         try:
             if kind == "n":
-                n, g, v = Lexer(self.data, a).indirect()
+                n, g, v = Lexer(self.data, a, self.limits.nesting).indirect()
                 if n != num:
                     v = None
                 elif self.decrypt and num != self.exempt:
@@ -286,13 +305,13 @@ class Document:
             self.members[num] = []
             s = self.get(num)
             if isinstance(s, Stream):
-                body = decoded(s)
+                body = self.data_of(s)
                 n, first = s.dict.get("N", 0), s.dict.get("First", 0)
-                heads = [int(x) for x in re.findall(rb"\d+", body[:first])[: 2 * min(n, MAX_MEMBERS)]]
+                heads = [int(x) for x in re.findall(rb"\d+", body[:first])[: 2 * min(n, self.limits.members)]]
                 out = []
                 for offset in heads[1::2]:
                     try:
-                        v = Lexer(body, first + offset).value()
+                        v = Lexer(body, first + offset, self.limits.nesting).value()
                         out.append(None if isinstance(v, Operator) else v)
                     except SyntaxFault:
                         out.append(None)
@@ -328,7 +347,7 @@ class Document:
         return (int(m[1]), int(m[2])) if m else None
 
 
-def _classic(data: bytes, at: int, entries: dict) -> dict:
+def _classic(data: bytes, at: int, entries: dict, most: int) -> dict:
     lex = Lexer(data, at + 4)
     while True:
         v = lex.value(refs=False)
@@ -338,7 +357,7 @@ def _classic(data: bytes, at: int, entries: dict) -> dict:
                 raise SyntaxFault("trailer is no dictionary")
             return t
         n = lex.value(refs=False)
-        if not (type(v) is int and type(n) is int and 0 <= n <= MAX_OBJECTS):
+        if not (type(v) is int and type(n) is int and 0 <= n <= most):
             raise SyntaxFault("bad subsection")
         for i in range(v, v + n):
             offset, gen, kind = lex.value(refs=False), lex.value(refs=False), lex.value(refs=False)
@@ -347,7 +366,7 @@ def _classic(data: bytes, at: int, entries: dict) -> dict:
             entries.setdefault(i, ("n", offset, gen) if kind == b"n" else ("f", 0, 0))
 
 
-def _xref_stream(data: bytes, at: int, entries: dict) -> dict:
+def _xref_stream(data: bytes, at: int, entries: dict, most: int) -> dict:
     _, _, s = Lexer(data, at).indirect()
     if not isinstance(s, Stream) or s.dict.get("Type") != "XRef":
         raise SyntaxFault("no cross-reference stream")
@@ -358,7 +377,7 @@ def _xref_stream(data: bytes, at: int, entries: dict) -> dict:
     w0, w1, w2 = widths[:3]
     at = 0
     for first, n in zip(index[::2], index[1::2], strict=False):
-        for i in range(first, first + min(n, MAX_OBJECTS)):
+        for i in range(first, first + min(n, most)):
             row = body[at : at + sum(widths)]
             if len(row) < sum(widths) or not row:
                 return s.dict
@@ -370,7 +389,7 @@ def _xref_stream(data: bytes, at: int, entries: dict) -> dict:
     return s.dict
 
 
-def _strict(data: bytes) -> tuple[dict, dict]:
+def _strict(data: bytes, limits: Limits) -> tuple[dict, dict]:
     at = data.rfind(b"startxref")
     m = re.compile(rb"startxref[\0\t\n\f\r ]+(\d+)").match(data, at) if at >= 0 else None
     if not m:
@@ -384,13 +403,15 @@ def _strict(data: bytes) -> tuple[dict, dict]:
         seen.add(offset)
         blank = _blank.match(data, offset).end() if offset < len(data) else offset
         try:
-            t = _classic(data, blank, entries) if whole and data.startswith(b"xref", blank) else _xref_stream(data, offset, entries)
+            t = _classic(data, blank, entries, limits.objects) if whole and data.startswith(b"xref", blank) else _xref_stream(data, offset, entries, limits.objects)
         except (SyntaxFault, codecs.CodecError):
             if whole:
                 raise
             continue  # a hybrid file reads without its stream, as far as it goes
         trailer = trailer or t
         # the section's own hybrid stream ranks before older sections
+        if len(entries) > limits.objects:
+            raise SyntaxFault("too many objects")
         todo = [(t[k], k == "Prev") for k in ("XRefStm", "Prev") if type(t.get(k)) is int and (whole or k == "XRefStm")] + todo
     return entries, trailer
 
@@ -398,11 +419,11 @@ def _strict(data: bytes) -> tuple[dict, dict]:
 _object = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj")
 
 
-def _recovered(data: bytes) -> tuple[dict, dict]:
-    """Scans for objects: the later definition wins; members of object streams fill gaps."""
+def _recovered(data: bytes, limits: Limits) -> tuple[dict, dict]:
+    """Scans for objects: the later definition wins; members of object streams fill gaps; the scan ends at the limit of objects."""
     entries: dict = {}
     for n, m in enumerate(_object.finditer(data)):
-        if n >= MAX_OBJECTS:
+        if n >= limits.objects:
             break
         entries[int(m[1])] = ("n", m.start(), int(m[2]))
     if not entries:
@@ -414,7 +435,7 @@ def _recovered(data: bytes) -> tuple[dict, dict]:
             trailer = t if isinstance(t, dict) else trailer
         except SyntaxFault:
             pass
-    doc = Document(data, entries, trailer)
+    doc = Document(data, entries, trailer, limits=limits)
     root = None
     for num in list(entries):
         v = doc.get(num)
@@ -423,7 +444,7 @@ def _recovered(data: bytes) -> tuple[dict, dict]:
             continue
         if isinstance(v, Stream) and d.get("Type") == "ObjStm":
             try:
-                heads = re.findall(rb"\d+", decoded(v)[: d.get("First", 0)])[: 2 * d.get("N", 0)]
+                heads = re.findall(rb"\d+", doc.data_of(v)[: d.get("First", 0)])[: 2 * min(d.get("N", 0), limits.members)]
             except codecs.CodecError:
                 continue
             for i, member in enumerate(heads[::2]):
@@ -436,18 +457,18 @@ def _recovered(data: bytes) -> tuple[dict, dict]:
     return entries, {**trailer, **({"Root": root} if root else {})}
 
 
-def open_document(data: bytes, password: bytes = b"") -> Document:
-    """Strict first; then recovery, also when the catalog can't be reached."""
+def open_document(data: bytes, password: bytes = b"", limits: Limits = Limits()) -> Document:
+    """Strict first; then recovery, also when the catalog can't be reached or the table names more objects than the limits allow."""
     try:
-        doc = Document(data, *_strict(data))
+        doc = Document(data, *_strict(data, limits), limits=limits)
     except (SyntaxFault, codecs.CodecError, ValueError, TypeError) as e:
-        doc = Document(data, *_recovered(data), "Recovered", [str(e)[:80]])
+        doc = Document(data, *_recovered(data, limits), "Recovered", [str(e)[:80]], limits=limits)
     if "Encrypt" in doc.trailer:
         from quire.functions.security import unlock
 
         unlock(doc, password)
     if doc.mode == "Strict" and not doc.catalog.get("Pages"):
-        doc = Document(data, *_recovered(data), "Recovered", ["catalog out of reach"])
+        doc = Document(data, *_recovered(data, limits), "Recovered", ["catalog out of reach"], limits=limits)
     return doc
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from quire.functions import calc, codecs, composing, content, flow, fonts, metadata, security, structure
 from quire.functions import signatures as signing
-from quire.functions.objects import Document, Lexer, Name, Ref, Stream, SyntaxFault, open_document, pages, serialise, write
+from quire.functions.objects import Document, Lexer, Limits, Name, Ref, Stream, SyntaxFault, open_document, pages, serialise, write
 
 
 def assembled(bodies):
@@ -242,3 +242,20 @@ def test_signatures():
     rows = signing.signatures(open_document(again), [of(top)])
     assert data.startswith(plain) and [(r["name"], r["covers_file"], r["intact"], r["trusted"]) for r in rows] == [("Sig", False, True, True), ("Second", True, True, True)]
     assert structure.document_text(open_document(again)) == "one\ntwo" and {f["name"] for f in structure.form_fields(open_document(again))} == {"f", "Sig", "Second"}
+
+
+def test_limits():
+    """Fewer objects than the table names: recovery keeps the first ones; a bomb and a deep value are refused."""
+    data = structure.author("\n".join(f"line {i}" for i in range(120)))
+    few = open_document(data, limits=Limits(objects=5))
+    assert few.mode == "Recovered" and len(few.xref) == 5 and open_document(data).mode == "Strict"
+    doc = open_document(data, limits=Limits(decoded=10, filters=1, nesting=3))
+    s = next(v for _, v in open_document(data).live() if isinstance(v, Stream))
+    with pytest.raises(codecs.CodecError):
+        doc.data_of(s)
+    with pytest.raises(codecs.CodecError):
+        doc.data_of(Stream({"Filter": [Name("ASCIIHexDecode")] * 2}, b">"))
+    packed = structure.author("x", kind="packed")
+    assert len(open_document(packed, limits=Limits(members=2)).container(next(b for k, b, _ in open_document(packed).xref.values() if k == "c"))) == 2
+    with pytest.raises(SyntaxFault):
+        Lexer(b"[[[[[1]]]]]", nesting=3).value()
