@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, free_names, mix, only_marked, own_columns, sequence_hash, shingles, text_batches, words, written
+from quire.llm.common import U64, Scratch, free_names, mix, only_marked, own_columns, sequence_hash, shingles, text_batches, words, written
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -277,12 +277,13 @@ def _classified(docs: DataFrame, similarity: float, runs: int | None, small: int
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, runs: int | None = None, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """For each row: doc_id, copy_id (least id of its exact copies), class_id (least id of all texts that links connect),
     n_links (different texts with a Jaccard similarity of at least `similarity`), n_copies (rows with its words)."""
-    signed, known = _classified(docs, similarity, runs, small, depth)
-    out = signed.select("doc_id", "node").join(known.drop("first"), "node", "left")
-    return out.select(
-        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        signed, known = _classified(docs, similarity, runs, small, depth)
+        out = signed.select("doc_id", "node").join(known.drop("first"), "node", "left")
+        return scratch.kept(out.select(
+            "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        ))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -291,13 +292,14 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows are told apart by id and text together, so that different texts with one id, or without, are each kept or left by
     their own class. Of rows that agree in both one stays. Rows without words are in no class and all stay.
     """
-    signed, known = _classified(docs, similarity, None, SMALL, DEPTH)
-    places = signed.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("n"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    placed = places.join(known.select("node", "first"), "node").select("doc_id", "text_hash", "n", stays.alias("stays"))
     gone_id, gone_text, state = free_names(docs, "gone_id", "gone_text", "state")
-    # what changes: places that go, and places of several rows of which one stays
-    touched = written(placed.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text), F.col("stays").alias(state)))
+    with Scratch(docs.sparkSession) as scratch:
+        signed, known = _classified(docs, similarity, None, SMALL, DEPTH)
+        places = signed.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("n"))
+        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        placed = places.join(known.select("node", "first"), "node").select("doc_id", "text_hash", "n", stays.alias("stays"))
+        # what changes: places that go, and places of several rows of which one stays
+        touched = scratch.kept(placed.where(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text), F.col("stays").alias(state)))
     key, own = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), own_columns(docs)
     marks = touched.select(F.xxhash64(gone_id, gone_text).alias("mark"))
     met = only_marked(docs, key, marks).join(touched, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_text)), "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +40,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{here}"
 
 
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends, executors may be lost."""
+    """The same rows, read back from a table in the shared folder: lineage ends, executors may be lost.
+
+    Inside `with Scratch(spark)` the table goes with the rest when the block ends.
+    """
+    held = _scratch.get()
+    return held.written(df) if held else _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 class Scratch:
-    """Intermediate tables of one call in the shared folder; drop() deletes those that are not needed any more."""
+    """The tables of one call: those written inside its block go when the block ends, but for the ones to keep."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def written(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/quire-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        out, path = _stored(df)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return out
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The result, as a table that stays."""
+        return _stored(df)[0]
 
     def drop(self) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -67,9 +82,11 @@ class Scratch:
         self.paths = []
 
     def __enter__(self) -> Scratch:
+        self._before = _scratch.set(self)
         return self
 
     def __exit__(self, *_) -> None:
+        _scratch.reset(self._before)
         self.drop()
 
 

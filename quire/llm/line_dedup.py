@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, free_names, only_marked, own_columns, written
+from quire.llm.common import Scratch, free_names, only_marked, own_columns
 
 SIMILARITY = 0.8
 #: What tells a line from all others: rows that agree in it are one.
@@ -190,7 +190,7 @@ def marked_lines(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = C
         known = scratch.written(known.select("key", F.coalesce("match", "ord").alias("match"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"), F.col("match").isNotNull().alias("whole"), *[f"first_{c}" for c in PLACE]))
         own = only_marked(lines.select("key", *PLACE), F.col("key"), known.select(F.col("key").alias("mark")))
         later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_hash") == F.col("first_text_hash")) & (F.col("line_no") == F.col("first_line_no")))
-        return written(own.join(known, "key").where(later | F.col("whole")).select(*PLACE, "match", "jaccard"))
+        return scratch.kept(own.join(known, "key").where(later | F.col("whole")).select(*PLACE, "match", "jaccard"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import chat, chosen_path, decontamination, line_dedup, lm, mixing, pii, token_counts, topk, toxicity
-from quire.llm.common import word_hash, words
+from quire.llm.common import shared_folder, word_hash, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, spans string, token long, key string"
@@ -397,6 +398,21 @@ def test_chosen_path(spark, edge, none):
     assert [r.doc_id for r in kept.collect()].count(5) == 1 and chosen_path.similar_groups(none).count() == 0
 
 
+def test_chosen_path_recall(spark):
+    """All pairs of a whole table by brute force: nine of ten links are found at least, none that is not there; the tables of the way go."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(12)
+    rows += [(5000 + k, " ".join(w if rng.random() > 0.02 else f"q{rng.randrange(99)}" for w in rows[k][1].split())) for k in range(0, 400, 4)]
+    expected = links_of(t for _, t in rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = {r.doc_id: r.n_links for r in chosen_path.similar_groups(d, small=16).collect()}
+    want = {i: expected[tuple(WORD.findall((t or "").lower()))] for i, t in rows}
+    assert sum(want.values()) > 100 and all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 # --- 10
 
 
