@@ -21,28 +21,58 @@ FAULTS = (ValueError, TypeError, KeyError, IndexError, AttributeError, Recursion
 
 def _rows(df: DataFrame, read: Callable[[Document], Iterator[dict]], schema: str, key: str, content_: str) -> DataFrame:
     """A row for each dict that `read` gives, with the document's key."""
+    return _found(df, None, read, schema, key, content_)
+
+
+#: Rows, and bytes of text and binary values, that a reader puts in one Arrow batch.
+MAX_ROWS, MAX_BYTES = 4096, 16 << 20
+
+
+def _found(df: DataFrame, author: Callable[..., tuple[bytes, dict]] | None, read: Callable[[Document], Iterator[dict]], schema: str, key: str, *columns: str) -> DataFrame:
+    """A row for each dict that `read` gives for a row's file: the one of its column, or the one that `author` writes."""
     kind = df.schema[key].dataType.simpleString()
     names = [x.split(" ")[0] for x in _split(schema)]
 
     def go(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                k, data = batch.column(0)[i], batch.column(1)[i].as_py()
+            keys, rows, held = [], [], 0
+
+            def packed(keys, rows, own=batch.schema[0].type):
+                return pa.RecordBatch.from_arrays([pa.array(keys, own), *[pa.array([r.get(c) for r in rows], t) for c, t in zip(names, types, strict=True)]], [key, *names])
+
+            for k, *values in zip(batch.column(0).to_pylist(), *_values(batch, columns), strict=True):
+                data, facts = author(*values) if author else (values[0], {})
                 if data is None:
                     continue
                 try:
-                    found = list(read(open_document(data)))
+                    found = [{**facts, **r} for r in read(open_document(data))]
                 except FAULTS:
                     continue
-                if found:
-                    columns = [pa.array([r.get(c) for r in found], t) for c, t in zip(names, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), batch.schema[0].type), *columns], [key, *names])
+                keys += [k] * len(found)
+                rows += found
+                held += sum(len(v) for r in found for v in r.values() if isinstance(v, (bytes, str)))
+                if len(rows) >= MAX_ROWS or held >= MAX_BYTES:
+                    yield packed(keys, rows)
+                    keys, rows, held = [], [], 0
+            if rows:
+                yield packed(keys, rows)
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema)]
-    return df.select(key, content_).mapInArrow(go, f"{key} {kind}, {schema}")
+    return df.select(key, *[c for c in columns if c != key]).mapInArrow(go, f"{key} {kind}, {schema}")
+
+
+def read_back(df: DataFrame, author: Callable[..., tuple[bytes, dict]], read: Callable[[Document], Iterator[dict]], schema: str, key: str, *columns: str) -> DataFrame:
+    """key and a row for each dict that `read` gives for the file that `author` writes from a row's columns, with what `author` knew
+    of it beforehand: written, opened from its bytes and read in one pass, so that no file goes through the JVM."""
+    return _found(df, author, read, schema, key, *columns)
+
+
+def _values(batch: pa.RecordBatch, columns: tuple[str, ...]) -> list[Iterator]:
+    """The columns' values, one at a time: a batch's files are not all held twice."""
+    return [(x.as_py() for x in batch.column(batch.schema.get_field_index(c))) for c in columns]
 
 
 def _split(schema: str) -> list[str]:
