@@ -5,8 +5,8 @@ hashed bins; a second one writes, for each line, its token set's hash and size,
 tokens in order of rarity (quarter octaves of their bin's count, then hash), sets with Jaccard >= t share one of the
 first n - ceil(t n) + 1 of each. Lines with equal sets form a class; only the class's first line goes on. Classes get
 numbers in the order of their first lines and meet in a join on the prefix tokens, filtered by length, by position
-(what can still be shared after the token) and by the sketch: the parities of the tokens' hashes in 128 cells, of which
-every differing token turns one. Pairs that pass are verified on the whole token sets, read again from the texts: first the likeliest
+(what can still be shared after the token) and by the sketch: the parities of the tokens' hashes in 64 cells (128 for long
+lines), of which every differing token turns one. Pairs that pass are verified on the whole token sets, read again from the texts: first the likeliest
 earlier partner of each class, then the others of the classes still without a match.
 
 Before that join, classes of crowded groups are compared with the first class that shares one of three min-hashes of
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, free_names, only_marked, own_columns
+from quire.llm.common import Scratch, free_names, only_marked, own_columns, written
 
 SIMILARITY = 0.8
 #: What tells a line from all others: rows that agree in it are one.
@@ -35,6 +35,8 @@ BIN_BITS = 18
 #: Classes that share a min-hash before they count as crowded, and bins in which they are counted first.
 CROWD = 256
 CROWD_BITS = 18
+#: Sets of more tokens have 128 cells in their sketch, others 64.
+LONG = 80
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -43,21 +45,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _words(text: Column) -> Column:
-    """The tokens of a text without line ends; translating only where there is something to translate is much cheaper."""
+def _pieces(text: Column) -> Column:
+    """The tokens of a text without line ends, and empty strings; translating only where there is something to translate is much cheaper."""
     other = [F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"]
     plain = F.when(other[0] | other[1] | other[2] | other[3], F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(_pieces(text), "")
+
+
+def _bin_of(hashed: Column) -> Column:
+    return hashed.bitwiseAND((1 << BIN_BITS) - 1).cast("int")
 
 
 def _bin(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND((1 << BIN_BITS) - 1).cast("int")
+    return _bin_of(F.xxhash64(token))
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
-    """For each bin, quarter octaves of the number of its tokens in all texts."""
+    """For each bin, quarter octaves of the number of its tokens in all texts; empty strings count in a bin of theirs."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
-    counted = docs.select(F.explode(_words(text)).alias("word")).groupBy(_bin(F.col("word")).alias("bin")).agg(F.count("*").alias("n"))
+    counted = docs.select(F.explode(_pieces(text)).alias("word")).groupBy(_bin(F.col("word")).alias("bin")).agg(F.count("*").alias("n"))
     packed = counted.select(F.shiftright("bin", 9).alias("part"), (F.col("bin") * 256 + F.least(F.lit(255), F.floor(F.log2("n") * 4))).cast("int").alias("x"))
     out = [0] * (1 << BIN_BITS)
     for row in packed.groupBy("part").agg(F.collect_list("x").alias("all")).toLocalIterator():
@@ -71,18 +81,22 @@ def _needed(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
+def ranks(line: Column, levels: list[int]) -> Column:
+    """The codes of a line's distinct tokens, the rarest first; as they can't be null, they are sorted as plain longs."""
+    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
+    ranked = lambda h: F.shiftleft(F.coalesce(F.get(level, _bin_of(h)), F.lit(0).cast("long")), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda x: F.xxhash64(x)), ranked)))
+
+
 def line_sets(docs: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
     """row (unique), place, key (hash of the token set), n, sketch_1, sketch_2, prefix (the rarest tokens, in order) of every line with tokens."""
-    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # a literal by constant folding
-    ranked = lambda x: F.shiftleft(F.get(level, _bin(x)), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(x), 16))
-    tokens = F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), ranked)))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     # the row number keeps the filter from being pushed below the tokens, which would compute them twice
-    s = _lines(docs).select(F.monotonically_increasing_id().alias("row"), *PLACE, tokens.alias("tokens")).where(F.size("tokens") > 0)
+    s = _lines(docs).select(F.monotonically_increasing_id().alias("row"), *PLACE, ranks(F.col("line"), levels).alias("tokens")).where(F.size("tokens") > 0)
     n = F.size("tokens")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     cell = lambda x: F.shiftright(x, 20).bitwiseAND(63).cast("int")
     every = F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", one, cell(x))))
-    half = F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 30).bitwiseAND(1), cell(x))))
+    half = F.when(n > LONG, F.aggregate("tokens", none, lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 30).bitwiseAND(1), cell(x))))).otherwise(none)
     # a set this small has no other within the similarity
     alone = n + 1e-9 < similarity / (1 - similarity) if similarity < 1 else F.lit(True)
     prefix = F.when(alone, F.array().cast("array<bigint>")).otherwise(F.slice("tokens", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")))
@@ -96,29 +110,36 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return out.orderBy(F.asc_nulls_first("doc_id"), "text_hash", "line_no", "row").withColumn("ord", F.monotonically_increasing_id())
 
 
+def _apart(a: str, b: str) -> Column:
+    """Tokens by which two sets differ at least: those in one half of the hashes, and in the other, turn cells of their own where both sets are long."""
+    one, two = (F.col(f"{a}_sketch_{k}").bitwiseXOR(F.col(f"{b}_sketch_{k}")) for k in (1, 2))
+    long = F.least(F.col(f"{a}_n"), F.col(f"{b}_n")) > LONG
+    return F.when(long, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two))).cast("int")
+
+
 def _may_be_similar(a: str, b: str, t: float) -> Column:
     na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-    apart = F.bit_count(F.col(f"{a}_sketch_1").bitwiseXOR(F.col(f"{b}_sketch_1"))) + F.bit_count(F.col(f"{a}_sketch_2").bitwiseXOR(F.col(f"{b}_sketch_2")))
-    return (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (apart <= na + nb - 2 * _needed(na, nb, t))
+    return (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (_apart(a, b) <= na + nb - 2 * _needed(na, nb, t))
 
 
-def _apart(a: str, b: str) -> Column:
-    return (F.bit_count(F.col(f"{a}_sketch_1").bitwiseXOR(F.col(f"{b}_sketch_1"))) + F.bit_count(F.col(f"{a}_sketch_2").bitwiseXOR(F.col(f"{b}_sketch_2")))).cast("int")
+FACTS = ("n", "sketch_1", "sketch_2")
 
 
-FACTS = ("n", "sketch_1", "sketch_2")
+def _min_hashes() -> Column:
+    """Three min-hashes of the prefix."""
+    spread = lambda bits: F.transform("prefix", lambda x: F.call_function("shiftleft", x, F.lit(bits)))
+    low, high = spread(16), spread(36)
+    hashes = F.array_distinct(F.array(F.array_min(low), F.array_max(low), F.array_min(high)))
+    return F.when(F.size("prefix") > 0, hashes).otherwise(F.array().cast("array<bigint>")).alias("hashes")
 
 
 def crowded(classes: DataFrame, similarity: float, least: int = CROWD) -> DataFrame:
     """left, right, apart: classes with the first class that shares a min-hash of the prefix, where at least `least` do."""
-    spread = lambda bits: F.transform("prefix", lambda x: F.call_function("shiftleft", x, F.lit(bits)))
-    low, high = spread(16), spread(36)
-    hashes = F.array(F.array_min(low), F.array_max(low), F.array_min(high))
-    seen = classes.where(F.size("prefix") > 0).select("ord", *FACTS, F.explode(F.array_distinct(hashes)).alias("hash"))
+    seen = classes.select("ord", *FACTS, F.explode("hashes").alias("hash"))
     bin_ = F.xxhash64("hash").bitwiseAND((1 << CROWD_BITS) - 1).cast("int")
     # bins first: most of the classes share their min-hashes with few others and need no shuffle
     bins = seen.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("bin").alias("mark"))
-    among = only_marked(seen, bin_, bins, bits=CROWD_BITS)
+    among = written(only_marked(seen, bin_, bins, bits=CROWD_BITS))  # it is read three times
     first = among.groupBy("hash").agg(F.min("ord").alias("left"), F.count("*").alias("n")).where(F.col("n") >= least).select("hash", "left")
     pairs = among.join(first, "hash").where(F.col("left") < F.col("ord")).select("left", *[F.col(c).alias(f"b_{c}") for c in ("ord", *FACTS)])
     facts = classes.select(*[F.col(c).alias(f"a_{c}") for c in ("ord", *FACTS)])
@@ -139,7 +160,7 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     met = a.join(b, "token").withColumns(part("a") | part("b"))
     needed = _needed(F.col("a_n"), F.col("b_n"), similarity)
     placed = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1 >= needed
-    met = met.where((F.col("a_ord") < F.col("b_ord")) & waits & placed & _may_be_similar("a", "b", similarity))
+    met = met.where((F.col("a_ord") < F.col("b_ord")) & _may_be_similar("a", "b", similarity) & placed & waits)
     return met.select(F.col("a_ord").alias("left"), F.col("b_ord").alias("right"), _apart("a", "b").alias("apart")).distinct()
 
 
@@ -178,9 +199,11 @@ def verified(scratch: Scratch, docs: DataFrame, firsts: DataFrame, pairs: DataFr
 def marked_lines(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """doc_id, text_hash, line_no, match (number of a class before it that it repeats), jaccard: the lines to remove."""
     with Scratch(docs.sparkSession) as scratch:
-        lines = scratch.written(line_sets(docs, similarity, rarity_levels(docs)))
-        firsts = scratch.written(first_lines(lines.select("row", "key", *PLACE)))
-        classes = scratch.written(lines.select("row", *FACTS, "prefix").join(firsts.select("row", "ord"), "row").drop("row"))
+        with Scratch(docs.sparkSession) as wide:  # only keys and places of the lines are used later
+            sets = wide.written(line_sets(docs, similarity, rarity_levels(docs)))
+            firsts = scratch.written(first_lines(sets.select("row", "key", *PLACE)))
+            classes = scratch.written(sets.select("row", *FACTS, "prefix").join(firsts.select("row", "ord"), "row").select("ord", *FACTS, "prefix", _min_hashes()))
+            lines = scratch.written(sets.select("key", *PLACE))
         early = verified(scratch, docs, firsts, crowded(classes, similarity, crowd), similarity)
         settled = classes.join(early.select(F.col("right").alias("ord"), F.lit(True).alias("found")), "ord", "left").withColumn("settled", F.col("found").isNotNull())
         late = verified(scratch, docs, firsts, candidates(settled, similarity), similarity)

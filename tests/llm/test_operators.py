@@ -461,6 +461,17 @@ def test_line_dedup_other_similarity(spark):
         assert got == removed(rows, t)
 
 
+def test_line_dedup_long_lines(spark):
+    """Near copies around the length from which sketches have 128 cells; the ranks of tokens are plain longs, never null."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(line_dedup.LONG + 6)]
+    rows = [(i, "\n".join(" ".join(w if rng.random() > 0.06 else f"z{rng.randrange(99)}" for w in words[: len(words) - rng.randrange(14)]) for _ in range(4))) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.line_no) for r in line_dedup.marked_lines(d, crowd=10_000).collect()} == removed(rows)
+    codes = d.select(line_dedup.ranks(F.col("text"), [0] * (1 << line_dedup.BIN_BITS)).alias("codes"))
+    assert not codes.schema["codes"].dataType.containsNull
+
+
 # --- the pipeline
 
 
